@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontam, quality, simhash
+from . import bpe, decontam, quality, simhash, tokenbin
 
 
 def word_tokenizer() -> str:
@@ -15,6 +15,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.index(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -32,5 +36,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_quality, op7_simhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_decontamination, op3_quality, op7_simhash, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
