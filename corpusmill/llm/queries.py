@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontam, quality, simhash, tokenbin
+from . import bpe, decontam, merkle, quality, simhash, tokenbin, warc
 
 
 def word_tokenizer() -> str:
@@ -27,6 +27,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
@@ -36,5 +44,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_decontamination, op3_quality, op7_simhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_decontamination, op3_quality, op4_merkle, op6_warc, op7_simhash, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
