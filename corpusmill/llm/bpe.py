@@ -23,7 +23,9 @@ from ..session import ready_workers
 from .chunks import ChunkCache, check_file, read_file
 
 #: Ids decoded at a time, which bounds the memory for their strings.
-DECODE_IDS = 4_000_000
+DECODE_IDS = 2_000_000
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 12_000_000
 #: The pattern of the word_bpe file, and its form for lower-case ASCII.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
@@ -200,7 +202,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         cache = cache_for("pairs", path, PairIndexCodec)
         strings = token_strings(path) if decode else None
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", SLICE_BYTES):
                 ids, counts = cache.encode(part.column("text").to_pylist())
                 ends = np.append(0, np.cumsum(counts)).astype(np.int32)
                 cols = {"id": part.column("id"), "n_tokens": pa.array(counts), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}

@@ -17,7 +17,8 @@ from tokenizers import Tokenizer
 #: Python also splits at these four control characters; the tokenizers' white-space class does not.
 ODD = re.compile("[\x1c-\x1f]")
 PLAIN_SPACE = re.compile("[^ \t\n\r\x0b\x0c]+")
-MAX_CHUNKS = 1_500_000
+#: Chunks held before the cache starts anew, new chunks encoded in one go, and chunks looked up in one go.
+MAX_CHUNKS, NEW_CHUNKS, GATHER = 600_000, 250_000, 500_000
 
 
 def split(text: str) -> list[str]:
@@ -81,22 +82,28 @@ class ChunkCache:
         """(ids of all texts one after the other, number of ids of each text); null counts as empty."""
         if len(self.index) > MAX_CHUNKS:
             self.reset()
-        index, words, counts = self.index, [], np.zeros(len(texts), np.int64)
+        index, parts, counts = self.index, [np.empty(0, np.int32)], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
                 found = split(text)
                 counts[k] = len(found)
-                words += found
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                parts.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
+        at = np.concatenate(parts)
+        del parts
         if len(index) > self.known:
-            new = list(islice(index, self.known, None))
-            ids = self.codec(new)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            rest = islice(index, self.known, None)
+            while new := list(islice(rest, NEW_CHUNKS)):
+                ids = self.codec(new)
+                lens = np.fromiter(map(len, ids), np.int64, len(ids))
+                self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))])
+                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
             self.known = len(index)
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
         starts, lens = self.ends[at], self.ends[at + 1] - self.ends[at]
         total = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.flat[np.repeat(starts - total[:-1], lens) + np.arange(total[-1])]
+        ids = np.empty(total[-1], np.int32)
+        for k in range(0, len(at), GATHER):
+            one = slice(k, k + GATHER)
+            here = total[k], total[min(k + GATHER, len(at))]
+            ids[slice(*here)] = self.flat[np.repeat(starts[one] - total[:-1][one], lens[one]) + np.arange(*here)]
         bounds = np.concatenate([[0], np.cumsum(counts)])
         return ids, total[bounds[1:]] - total[bounds[:-1]]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontam, merkle, quality, simhash, tokenbin, warc
+from . import bpe, decontam, html_text, katz, merkle, quality, simhash, tokenbin, urlfilter, warc
 
 
 def word_tokenizer() -> str:
@@ -31,6 +31,10 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -40,9 +44,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "ratio")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_decontamination, op3_quality, op4_merkle, op6_warc, op7_simhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_decontamination, op3_quality, op4_merkle, op5_html, op6_warc, op7_simhash, op8_katz, op9_url_filter, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}

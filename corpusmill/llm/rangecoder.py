@@ -21,6 +21,8 @@ TOTAL = 1 << TOTAL_BITS
 MIX_BITS = 12
 ORDER2_BITS = 11
 FIRST_SCALE = 256
+#: Steps between looks at the room left for words; a step makes two at most.
+CHECK_ROOM = 64
 #: Bytes of model state in a group.
 GROUP_BYTES = 150_000_000
 
@@ -93,7 +95,8 @@ class Model:
 
 def alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct ids, each id's place among them)."""
-    return np.unique(ids, return_inverse=True)
+    letters, places = np.unique(ids, return_inverse=True)
+    return letters, places.astype(np.uint16)
 
 
 def groups(sizes: list[int], alphabets: list[int]) -> list[list[int]]:
@@ -129,7 +132,7 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, bytes]]:
 
 def _encode_group(syms: np.ndarray, lens: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     n = m.lanes
-    room = 2 * len(syms) + 8
+    room = len(syms) * 5 // 8 + 2 * CHECK_ROOM + 8
     words = np.zeros((n, room), np.uint32)
     flat, row = words.ravel(), np.arange(n) * room
     pos = np.zeros(n, np.int64)
@@ -153,6 +156,10 @@ def _encode_group(syms: np.ndarray, lens: np.ndarray, m: Model) -> tuple[np.ndar
         if t == scale_at:
             m.scale()
             scale_at *= 2
+        if t % CHECK_ROOM == 0 and pos.max() + 2 * CHECK_ROOM + 8 > room:
+            words = np.pad(words, ((0, 0), (0, room // 2)))
+            room += room // 2
+            flat, row = words.ravel(), np.arange(n) * room
         k = m.lanes
         m.predict()
         sym = syms[t, :k].astype(np.int64)

@@ -31,7 +31,7 @@ MAGIC = b"CMB1"
 #: ids as little-endian unsigned 32-bit integers; CRC-32 of the header so far and of what follows it.
 HEAD = struct.Struct("<4s6I2I")
 #: Blocks coded in one go, and input bytes for each file.
-GO_BLOCKS = 2400
+GO_BLOCKS = 1500
 FILE_BYTES = 16_000_000
 
 
