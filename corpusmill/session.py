@@ -70,7 +70,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows once to the shared folder and read them back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusmill_path = path
     return out
