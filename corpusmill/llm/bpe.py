@@ -34,6 +34,8 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0
 class PairIndexCodec:
     """Ids of chunks by merging over a pair occurrence index; vocabulary, merges and splitting come from the file."""
 
+    at_once = 250_000
+
     def __init__(self, path: str):
         spec = read_file(path)
         check_file(spec)

@@ -8,6 +8,7 @@ space, whose added tokens hold none, and whose normalizers look at no neighbour
 from __future__ import annotations
 
 import json
+import os
 import re
 from itertools import chain, islice
 
@@ -17,8 +18,10 @@ from tokenizers import Tokenizer
 #: Python also splits at these four control characters; the tokenizers' white-space class does not.
 ODD = re.compile("[\x1c-\x1f]")
 PLAIN_SPACE = re.compile("[^ \t\n\r\x0b\x0c]+")
-#: Chunks held before the cache starts anew, new chunks encoded in one go, and chunks looked up in one go.
-MAX_CHUNKS, NEW_CHUNKS, GATHER = 600_000, 250_000, 500_000
+#: Chunks held before the cache starts anew, and chunks looked up in one go.
+MAX_CHUNKS, GATHER = 600_000, 500_000
+#: Tasks are the parallelism; the library's threads would only fight over the same cores.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 def split(text: str) -> list[str]:
@@ -47,6 +50,8 @@ def check_file(spec: dict) -> None:
 class LibraryCodec:
     """Ids of chunks by the tokenizers library itself."""
 
+    at_once = 50_000
+
     def __init__(self, path: str):
         check_file(read_file(path))
         self.tok = Tokenizer.from_file(path)
@@ -92,7 +97,7 @@ class ChunkCache:
         del parts
         if len(index) > self.known:
             rest = islice(index, self.known, None)
-            while new := list(islice(rest, NEW_CHUNKS)):
+            while new := list(islice(rest, self.codec.at_once)):
                 ids = self.codec(new)
                 lens = np.fromiter(map(len, ids), np.int64, len(ids))
                 self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))])

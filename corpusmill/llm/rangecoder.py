@@ -58,18 +58,26 @@ class Model:
     def scale(self) -> None:
         """Frequencies from the counts: each id of the alphabet gets at least 1, the commonest takes what is left."""
         n, w = self.lanes, self.width
-        count = self.count[: n * w].reshape(n, w).astype(np.int64)
-        seen = np.maximum(1, count.sum(axis=1))
-        own = np.arange(w) < self.sizes[:, None]
-        freq = np.where(own, 1 + count * ((TOTAL - self.sizes) // 1)[:, None] // seen[:, None], 0)
-        freq[np.arange(n), count.argmax(axis=1)] += TOTAL - freq.sum(axis=1)
-        cum = np.cumsum(freq, axis=1) - freq
-        self.freq, self.cum = freq.astype(np.uint64).ravel(), cum.astype(np.uint64).ravel()
+        self.freq, self.cum = np.empty((n, w), np.uint32), np.empty((n, w), np.uint32)
         if self.decoding:
-            slots = np.zeros((n, TOTAL), np.uint16)
-            row, col = np.nonzero(own)
-            slots[row, cum[row, col]] = col
-            self.slots = np.maximum.accumulate(slots, axis=1).ravel()
+            self.slots = np.zeros((n, TOTAL), np.uint16)
+        for k in range(0, n, 128):
+            part = slice(k, min(n, k + 128))
+            count, size = self.count[: n * w].reshape(n, w)[part].astype(np.int64), self.sizes[part, None]
+            seen = np.maximum(1, count.sum(axis=1, keepdims=True))
+            own = np.arange(w) < size
+            freq = np.where(own, 1 + count * (TOTAL - size) // seen, 0)
+            freq[np.arange(len(freq)), count.argmax(axis=1)] += TOTAL - freq.sum(axis=1)
+            cum = np.cumsum(freq, axis=1) - freq
+            self.freq[part], self.cum[part] = freq, cum
+            if self.decoding:
+                row, col = np.nonzero(own)
+                slots = self.slots[part]
+                slots[row, cum[row, col]] = col
+                np.maximum.accumulate(slots, axis=1, out=slots)
+        self.freq, self.cum = self.freq.ravel(), self.cum.ravel()
+        if self.decoding:
+            self.slots = self.slots.ravel()
 
     def predict(self) -> None:
         """Predictions and the widths of order 2 and order 1 in the next subdivision."""

@@ -31,7 +31,7 @@ MAGIC = b"CMB1"
 #: ids as little-endian unsigned 32-bit integers; CRC-32 of the header so far and of what follows it.
 HEAD = struct.Struct("<4s6I2I")
 #: Blocks coded in one go, and input bytes for each file.
-GO_BLOCKS = 1500
+GO_BLOCKS = 1200
 FILE_BYTES = 16_000_000
 
 
@@ -120,7 +120,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_bytes:
 
         def rows():
             for batch in batches:
-                for part in by_bytes(batch, "text", 8_000_000):
+                for part in by_bytes(batch, "text", 4_000_000):
                     ids, counts = cache.encode(part.column("text").to_pylist())
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     yield part.column("doc_id").to_pylist(), ids, counts + 1
