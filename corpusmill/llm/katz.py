@@ -5,18 +5,19 @@ unigram and the class of unknown words. Counts up to K are discounted by Good-Tu
 times in training aren't kept and count as unseen, which alpha(h) makes up for exactly: the probabilities of all known
 words and of the unknown class sum to one after every context.
 
-Texts are read once. Each task numbers its own words and sends sorted, packed arrays: for each word and bigram its
-64-bit hash and the documents it occurs in. They are dealt out by that hash into buckets, so a frequent word or context
-is spread over all of them. A bucket counts, sums what needs no model (base score, unigram part) for each document, and
-writes tables: kept bigrams, word counts, and the postings of both. Discounts come from the counts of counts, a handful of
-numbers; alpha and the weights are DataFrame joins over the kept tables; the recursion is evaluated for each posting in
-its bucket, and a document's parts are added up.
+Texts are read once and stored in parts, as numbers of the part's own words. Then parts ask and buckets answer. A part
+sends the sorted 64-bit hashes of its words and bigrams with their training counts, dealt out by hash, so a frequent word
+or context is spread over all buckets and stands once for each part. A bucket adds up the counts and answers each part
+with an array in the order in which it asked, so answers need no keys; of the parts that hold a kept bigram the first owns
+it. Owners send what alpha needs, summed for each context; alphas are answered the same way. Each part then evaluates the
+recursion for all its tokens. Discounts come from the counts of counts, a handful of numbers.
 """
 
 from __future__ import annotations
 
 import gc
 import struct
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,18 +29,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ready_workers, scratch
+from ..session import materialize, ready_workers
 from .bpe import by_bytes
 from .chunks import _Numbers
 from .tokenbin import input_bytes
 
 K, MIN_BIGRAM = 5, 2
-#: Bytes of text that a task packs at a time, and input bytes for each bucket.
-PACK_BYTES, BUCKET_BYTES = 24_000_000, 16_000_000
+#: Bytes of text in a part, and input bytes for each bucket.
+PART_BYTES, BUCKET_BYTES = 8_000_000, 16_000_000
 #: Fixed keys of the end of a text and of the place before its first word.
 END, START = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-ROW = "kind string, bucket int, part bigint, blob binary, a array<bigint>, b array<bigint>, c array<bigint>, d array<bigint>"
-ROW_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("part", pa.int64()), ("blob", pa.binary()), *((x, pa.list_(pa.int64())) for x in "abcd")])
+PART = "part bigint, who binary, words binary, tokens binary"
+ROW = "kind string, bucket int, part bigint, blob binary, stats array<bigint>"
+ROW_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("part", pa.int64()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -91,71 +93,75 @@ def learns(doc_id: object) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 != 1
 
 
-def row(kind: str, bucket: int, part: int = 0, blob: bytes = b"", a=None, b=None, c=None, d=None) -> dict:
-    return {"kind": kind, "bucket": bucket, "part": part, "blob": blob, "a": a, "b": b, "c": c, "d": d}
-
-
-def rows_to_batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, ROW_ARROW)
-
-
-def packed(ids: list, texts: list[bytes | None], part: int, buckets: int) -> list[dict]:
-    """The rows a task sends for some documents: M (who they are), U and B (words and bigrams with their documents)."""
+def part_of(ids: list, texts: list[bytes | None], part: int) -> dict:
+    """The stored form of some documents: who they are, their words' hashes by number, their tokens' numbers."""
     number = _Numbers()
     number[b""], number[b" "] = 0, 1  # the end and the start
-    seqs = []
+    seqs, lens = [], []
     for t in texts:
         found = t.lower().split() if t else []
-        seqs.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+        found.append(b"")
+        lens.append(len(found))
+        seqs.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+    tokens = np.concatenate(seqs)
     key = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
     key[:2] = END, START
-    lens = np.array([len(s) + 1 for s in seqs])
-    n = len(texts)
-    train = np.array([learns(i) for i in ids])
-    doc = np.repeat(np.arange(n), lens)
-    ends = np.cumsum(lens)
-    tok = np.zeros(int(lens.sum()), np.int64)
-    tok[np.delete(np.arange(len(tok)), ends - 1)] = np.concatenate(seqs) if seqs else []
-    ctx = np.empty_like(tok)
-    ctx[1:] = tok[:-1]
-    ctx[np.append(0, ends[:-1])] = 1
-    del seqs
-    who = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids), "n": pa.array(lens), "train": pa.array(train)})
+    common = np.argsort(-np.bincount(tokens, minlength=len(key))[2:], kind="stable") + 2  # small numbers pack well
+    order = np.concatenate([[0, 1], common])
+    new = np.empty(len(order), np.uint32)
+    new[order] = np.arange(len(order))
+    who = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids), "n": pa.array(lens, pa.int64()), "train": pa.array([learns(i) for i in ids], pa.bool_())})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, who.schema) as w:
         w.write_batch(who)
-    out = [row("M", part % buckets, part, sink.getvalue().to_pybytes())]
-    for kind in "UB":
-        entry, count = np.unique((tok if kind == "U" else ctx * len(key) + tok) * n + doc, return_counts=True)
-        kind_of, docs = entry // n, entry % n
-        first = np.flatnonzero(np.append(True, kind_of[1:] != kind_of[:-1])) if len(entry) else np.empty(0, np.int64)
-        types = kind_of[first]
-        size = np.diff(np.append(first, len(entry)))
-        learned = np.add.reduceat(count * train[docs], first) if len(first) else first
-        if kind == "U":
-            cols = [key[types]]
-            at = bucket_of(cols[0], buckets)
-            order = np.lexsort((cols[0], at))
-        else:
-            cols = [key[types // len(key)], key[types % len(key)]]
-            at = bucket_of(mix(*cols), buckets)
-            order = np.lexsort((cols[0], at))
-        cuts = np.searchsorted(at[order], np.arange(buckets + 1))
-        for k in range(buckets):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                sizes = size[own]
-                pick = np.repeat(first[own] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-                out.append(row(kind, k, part, pack(*(c[own] for c in cols), smallest(sizes), smallest(learned[own]), smallest(docs[pick]), smallest(count[pick]))))
-    return out
-
-
-def merged(blobs: list[list[np.ndarray]], keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(distinct keys, where each first stands, training counts, each blob's places among the keys)."""
-    flat = np.concatenate(keys)
-    distinct, first, where = np.unique(flat, return_index=True, return_inverse=True)
-    count = np.bincount(where, np.concatenate([b[-3] for b in blobs]), len(distinct)).astype(np.int64)
-    return distinct, first, count, np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+    return {"part": part, "who": sink.getvalue().to_pybytes(), "words": pack(key[order]), "tokens": pack(new[tokens])}
+
+
+class Part:
+    """A stored part, unpacked: its words and bigrams, and the order in which it asks for them."""
+
+    def __init__(self, r: dict, buckets: int):
+        self.who = pa.ipc.open_stream(r["who"]).read_all()
+        self.lens = self.who.column("n").to_numpy()
+        (self.key,), (tok,) = unpack(r["words"]), unpack(r["tokens"])
+        self.tok = tok.astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        ctx = np.empty_like(self.tok)
+        ctx[1:] = self.tok[:-1]
+        ctx[np.append(0, np.cumsum(self.lens)[:-1])] = 1
+        self.ctx = ctx
+        pairs, self.type = np.unique(ctx * len(self.key) + self.tok, return_inverse=True)
+        self.h, self.w = pairs // len(self.key), pairs % len(self.key)
+        train = self.who.column("train").to_numpy()[self.doc]
+        self.keys = {"U": self.key, "B": mix(self.key[self.h], self.key[self.w])}
+        self.counts = {"U": np.bincount(self.tok[train], minlength=len(self.key)), "B": np.bincount(self.type[train], minlength=len(pairs))}
+        self.order, self.cuts = {}, {}
+        for kind, key in self.keys.items():
+            at = bucket_of(key, buckets)
+            self.order[kind] = np.lexsort((key, at))
+            self.cuts[kind] = np.searchsorted(at[self.order[kind]], np.arange(buckets + 1))
+
+    def ask(self, kind: str, bucket: int) -> np.ndarray:
+        """Which words or bigrams it asks of a bucket, in the order of their keys."""
+        return self.order[kind][self.cuts[kind][bucket] : self.cuts[kind][bucket + 1]]
+
+    def requests(self, part: int, buckets: int, kinds: str) -> Iterator[dict]:
+        for kind in kinds:
+            for k in range(buckets):
+                own = self.ask(kind, k)
+                if len(own):
+                    yield {"kind": kind, "bucket": k, "part": part, "blob": pack(self.keys[kind][own], smallest(self.counts[kind][own])), "stats": None}
+
+    def answers(self, rows: list[dict], kind: str, of: str, column: int, fill: float = 0) -> np.ndarray:
+        """The answered column for all words or bigrams."""
+        out = None
+        for r in rows:
+            if r["kind"] == kind:
+                a = unpack(r["blob"])[column]
+                if out is None:
+                    out = np.full(len(self.keys[of]), fill, np.float64 if a.dtype.kind == "f" else np.int64)
+                out[self.ask(of, r["bucket"])] = a
+        return np.full(len(self.keys[of]), fill) if out is None else out
 
 
 def of_count(c: np.ndarray) -> np.ndarray:
@@ -163,54 +169,44 @@ def of_count(c: np.ndarray) -> np.ndarray:
     return np.bincount(c[(c >= 1) & (c <= K + 1)], minlength=K + 2)[1:]
 
 
-def subset(blob: list[np.ndarray], places: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, postings, documents, counts) of a blob's types that are wanted."""
-    sizes = blob[-4].astype(np.int64)
-    own = wanted[places]
-    posts = np.repeat(own, sizes)
-    return places[own], sizes[own], blob[-2][posts], blob[-1][posts]
-
-
 def counted(table: pa.Table) -> pa.Table:
-    """What one bucket makes of its rows: N (statistics), S (sums of documents), W and T (word and bigram tables), P and Q
-    (postings of words and bigrams that the model has), and M as it came."""
-    rows = table.to_pylist()
-    bucket = rows[0]["bucket"]
-    out = [r for r in rows if r["kind"] == "M"]
+    """A bucket's answers to its parts (RU: counts of words; RB: counts of kept bigrams, and which the part owns) and its
+    statistics (NU, NB)."""
+    rows, out = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"])), []
     for kind in "UB":
         own = [r for r in rows if r["kind"] == kind]
         if not own:
             continue
         blobs = [unpack(r["blob"]) for r in own]
-        if kind == "U":
-            word, _, count, places = merged(blobs, [b[0] for b in blobs])
-            ends = int(count[word == np.uint64(END)].sum())
-            out.append(row("N", bucket, a=[int(count.sum()), int((count > 0).sum()), ends, *of_count(count).tolist()]))
-            some = count >= MIN_BIGRAM
-            out.append(row("W", bucket, a=word[some].view(np.int64).tolist(), b=count[some].tolist()))
-            log_base, log_count = np.log10(count + 0.5), np.log10(np.maximum(count, 1))
-            for r, b, place in zip(own, blobs, places):
-                each, docs, n = np.repeat(place, b[-4]), b[-2].astype(np.int64), b[-1].astype(np.int64)
-                seen = np.unique(docs)
-                most = int(docs.max()) + 1
-                sums = [np.bincount(docs, n * log_base[each], most)[seen], np.bincount(docs, n * log_count[each], most)[seen]]
-                low = np.bincount(docs * (K + 1) + np.minimum(count[each], K + 1), n * (count[each] <= K), most * (K + 1) + K + 2)
-                by_count = low[: most * (K + 1)].reshape(most, K + 1)[seen]
-                out.append(row("S", bucket, r["part"], pack(smallest(seen), *sums, *(smallest(by_count[:, k].astype(np.int64)) for k in range(K + 1)))))
-                at, sizes, docs, n = subset(b, place, some & (word != np.uint64(END)))
-                if len(at):
-                    out.append(row("P", bucket, r["part"], pack(word[at], smallest(sizes), docs, n)))
-        else:
-            keys = [mix(b[0], b[1]) for b in blobs]
-            key, first, count, places = merged(blobs, keys)
-            out.append(row("N", bucket, b=of_count(count).tolist()))
-            some = count >= MIN_BIGRAM
-            h, w = (np.concatenate([b[k] for b in blobs])[first[some]] for k in (0, 1))
-            out.append(row("T", bucket, a=h.view(np.int64).tolist(), b=w.view(np.int64).tolist(), c=count[some].tolist(), d=key[some].view(np.int64).tolist()))
-            for r, b, place in zip(own, blobs, places):
-                at, sizes, docs, n = subset(b, place, some)
-                if len(at):
-                    out.append(row("Q", bucket, r["part"], pack(key[at], smallest(sizes), docs, n)))
+        flat = np.concatenate([b[0] for b in blobs])
+        key, first, where = np.unique(flat, return_index=True, return_inverse=True)
+        count = np.bincount(where, np.concatenate([b[1] for b in blobs]), len(key)).astype(np.int64)
+        owner = np.zeros(len(flat), np.uint8)
+        owner[first] = 1
+        stats = [int(count.sum()), int((count > 0).sum()), int(count[key == np.uint64(END)].sum())] if kind == "U" else []
+        out.append({"kind": "N" + kind, "bucket": own[0]["bucket"], "part": -1, "blob": b"", "stats": stats + of_count(count).tolist()})
+        value = count if kind == "U" else np.where(count >= MIN_BIGRAM, count, 0)
+        at = 0
+        for r, b in zip(own, blobs):
+            piece = slice(at, at + len(b[0]))
+            got = smallest(value[where[piece]])
+            out.append({"kind": "R" + kind, "bucket": r["bucket"], "part": r["part"], "blob": pack(got) if kind == "U" else pack(got, owner[piece] * (got > 0)), "stats": None})
+            at += len(b[0])
+    return pa.Table.from_pylist(out, ROW_ARROW)
+
+
+def answered(asked: pa.Table, alphas: pa.Table) -> pa.Table:
+    """A bucket's answers RA: log alpha and the shrinking of each word as a context."""
+    key = alphas.column("key").to_numpy().view(np.uint64) if len(alphas) else np.empty(0, np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    cols = [alphas.column(c).to_numpy()[order] if len(alphas) else np.empty(0) for c in ("alpha", "shrink")]
+    out = []
+    for r in asked.to_pylist() if len(key) else []:
+        own = unpack(r["blob"])[0]
+        at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+        there = key[at] == own
+        out.append({"kind": "RA", "bucket": r["bucket"], "part": r["part"], "blob": pack(np.where(there, cols[0][at], 0.0), np.where(there, cols[1][at], 1.0)), "stats": None})
     return pa.Table.from_pylist(out, ROW_ARROW)
 
 
@@ -250,43 +246,19 @@ def discounts(n: int, v: int, documents: int, uni: list[int], bi: list[int]) ->
     return Discounts(n, v, documents, d, good_turing(bi), 1.0, left / n)
 
 
-def factor(count: str, d: tuple[float, ...]) -> str:
-    """SQL of the discount of a count."""
-    return "CASE " + " ".join(f"WHEN {count} = {r} THEN {x!r}D" for r, x in enumerate(d, 1)) + " ELSE 1D END"
-
-
-def model(counts: DataFrame, d: Discounts) -> tuple[DataFrame, DataFrame]:
-    """(bigram weights, alphas): weight is log p*(w|h) - log alpha(h) - log p(w), alpha is log alpha(h), all to base 10."""
-    spark = counts.sparkSession
-    start = int(np.uint64(START).astype(np.int64))
-    words = counts.where("kind = 'W'").select("bucket", F.explode(F.arrays_zip("a", "b")).alias("x")).select(F.col("x.a").alias("word"), F.col("x.b").alias("n"), "bucket")
-    words = words.union(spark.range(1).select(F.lit(start), F.lit(d.documents).cast("long"), F.lit(0)))
-    types = counts.where("kind = 'T'").select("bucket", F.explode(F.arrays_zip("a", "b", "c", "d")).alias("x")).select("bucket", "x.*")
-    types = types.toDF("bucket", "h", "w", "c", "key")
-    low = words.select(F.col("word").alias("w"), F.expr(f"n * {factor('n', d.uni)} * {d.scale!r}D / {max(1, d.n)}").alias("p1"))
-    high = words.select(F.col("word").alias("h"), F.col("n").alias("nh"), F.col("bucket").alias("home"))
-    seen = types.join(low, "w").join(high, "h").withColumn("p", F.expr(f"c * {factor('c', d.bi)} / nh"))
-    sums = seen.groupBy("h").agg(F.sum("p").alias("sp"), F.sum("p1").alias("s1"), F.first("nh").alias("nh"), F.first("home").alias("home"))
-    # what is left to unseen words is at least one count's share
-    sums = sums.withColumn("shrink", F.expr("least(1D, (1 - 1 / (nh + 1)) / sp)")).withColumn("alpha", F.expr("log10((1 - sp * shrink) / greatest(1 - s1, 1e-300))"))
-    weights = seen.join(sums.select("h", "shrink", "alpha"), "h").select("bucket", "key", F.expr("log10(p * shrink) - alpha - log10(p1)").alias("weight"))
-    return weights, sums.select(F.col("home").alias("bucket"), F.col("h").alias("key"), F.col("alpha").alias("weight"))
-
-
-def evaluated(posts: pa.Table, weights: pa.Table) -> pa.Table:
-    """A bucket's postings times the weights of their keys, summed for each document."""
-    key = weights.column("key").to_numpy().view(np.uint64) if len(weights) else np.empty(0, np.uint64)
-    order = np.argsort(key)
-    key, weight = key[order], (weights.column("weight").to_numpy()[order] if len(weights) else np.empty(0))
-    out = []
-    for r in posts.to_pylist() if len(key) else []:
-        own, sizes, docs, n = unpack(r["blob"])
-        at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-        value = np.repeat(np.where(key[at] == own, weight[at], 0.0), sizes) * n
-        docs = docs.astype(np.int64)
-        seen = np.unique(docs)
-        out.append(row("E", r["bucket"], r["part"], pack(smallest(seen), np.bincount(docs, value)[seen])))
-    return pa.Table.from_pylist(out, ROW_ARROW)
+class Probabilities:
+    """Of a part's words and kept bigrams, from the answered counts; without alpha and shrinking."""
+
+    def __init__(self, p: Part, rows: list[dict], d: Discounts):
+        self.count = p.answers(rows, "RU", "U", 0).astype(np.int64)
+        pair = p.answers(rows, "RB", "B", 0).astype(np.int64)
+        self.owned = p.answers(rows, "RB", "B", 1) > 0
+        uni, bi = np.array([1.0, *d.uni, 1.0]), np.array([1.0, *d.bi, 1.0])
+        low = lambda c: np.minimum(c, K + 1)
+        self.p1 = np.where(self.count > 0, self.count * uni[low(self.count)] * d.scale / max(1, d.n), d.unknown)
+        self.context = np.where(np.arange(len(p.key)) == 1, d.documents, self.count)
+        self.kept = pair > 0
+        self.p2 = pair * bi[low(pair)] / np.maximum(1, self.context[p.h])
 
 
 def score(df: DataFrame) -> DataFrame:
@@ -298,71 +270,79 @@ def score(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ready_workers(spark)
     src = df.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
+    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[src.schema["doc_id"].dataType.simpleString()]
     buckets = max(4, -(-input_bytes(src) // BUCKET_BYTES))
-    src = src.withColumn("at", F.spark_partition_id().cast("long"))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = 0
         for batch in batches:
-            for part in by_bytes(batch, "text", PACK_BYTES):
-                for begin in range(0, part.num_rows, 60_000):
-                    own = part.slice(begin, 60_000)
-                    yield rows_to_batch(packed(own.column("doc_id").to_pylist(), own.column("text").to_pylist(), (own.column("at")[0].as_py() << 24) + nth, buckets))
-                    nth += 1
-
-    path = scratch(spark, "katz")
-    src.mapInArrow(send, ROW).groupBy("bucket").applyInArrow(counted, ROW).write.partitionBy("kind").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the packed arrays' shuffle files can go now
-    counts = spark.read.schema(ROW.replace("kind string, ", "") + ", kind string").parquet(path)
-    stats = counts.where("kind = 'N'").select(F.explode(F.array(F.struct(F.lit("a").alias("of"), F.col("a").alias("v")), F.struct(F.lit("b").alias("of"), F.col("b").alias("v")))).alias("x"))
-    stats = stats.select("x.of", F.posexplode("x.v").alias("at", "n")).groupBy("of", "at").agg(F.sum("n").alias("n")).collect()
-    got = {(r["of"], r["at"]): int(r["n"]) for r in stats}
-    a, b = [got.get(("a", k), 0) for k in range(K + 4)], [got.get(("b", k), 0) for k in range(K + 1)]
+            for part in by_bytes(batch, "text", PART_BYTES):
+                own = part_of(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), (part.column("at")[0].as_py() << 24) + nth)
+                yield pa.RecordBatch.from_pylist([own], pa.schema([("part", pa.int64()), ("who", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())]))
+                nth += 1
+
+    def ask(kinds: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    yield pa.RecordBatch.from_pylist(list(Part(r, buckets).requests(r["part"], buckets, kinds)), ROW_ARROW)
+
+        return parts.mapInArrow(run, ROW)
+
+    def settle() -> None:
+        """Shuffle files of finished steps can go now."""
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
+
+    parts = materialize(src.withColumn("at", F.spark_partition_id().cast("long")).mapInArrow(store, PART), "katz-parts")
+    first = materialize(ask("UB").groupBy("bucket").applyInArrow(counted, ROW), "katz-counts")
+    settle()
+    stats = first.where("kind IN ('NU', 'NB')").select("kind", F.posexplode("stats").alias("at", "n")).groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
+    got = {(r["kind"], r["at"]): int(r["n"]) for r in stats}
+    a, b = [got.get(("NU", k), 0) for k in range(K + 4)], [got.get(("NB", k), 0) for k in range(K + 1)]
     d = discounts(a[0], a[1], a[2], a[3:], b)
-    weights, alphas = model(counts, d)
-    start = int(np.uint64(START).astype(np.int64))
-    at_start = alphas.where(F.col("key") == start).select("weight").collect()
-    at_start = at_start[0][0] if at_start else 0.0
-    posts = lambda k: counts.where(F.col("kind") == k).select("bucket", "part", "blob").groupBy("bucket")
-    parts = posts("Q").cogroup(weights.groupBy("bucket")).applyInArrow(evaluated, ROW).union(posts("P").cogroup(alphas.groupBy("bucket")).applyInArrow(evaluated, ROW))
-    parts = parts.select("kind", "part", "blob").union(counts.where("kind IN ('S', 'M')").select("kind", "part", "blob"))
-    log_d = np.log10(np.array([1.0, *d.uni]) * d.scale)
-    log_d[0] = np.log10(d.unknown)
-    per_token, base = np.log10(max(1, d.n)), np.log10(d.n + 0.5 * (d.v + 1))
-    many = np.log10(d.scale)
-
-    def add_up(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        who = pa.ipc.open_stream(next(r["blob"] for r in rows if r["kind"] == "M")).read_all()
-        tokens = who.column("n").to_numpy()
-        size = len(tokens)
-        total, base_sum, known_log = np.full(size, at_start), np.zeros(size), np.zeros(size)
-        low = np.zeros((size, K + 1), np.int64)
-        for r in sorted((r for r in rows if r["kind"] != "M"), key=lambda r: r["blob"]):
-            docs, *cols = unpack(r["blob"])
-            if r["kind"] == "E":
-                total[docs] += cols[0]
-            else:
-                base_sum[docs] += cols[0]
-                known_log[docs] += cols[1]
-                for k in range(K + 1):
-                    low[docs, k] += cols[2 + k]
-        known = tokens - low[:, 0]
-        # of known tokens, log p is log count + log discount - log N; the discount of counts over K is the scale alone
-        total += known_log - known * per_token + low @ log_d + (known - low[:, 1:].sum(axis=1)) * many
-        return pa.Table.from_pydict(
+
+    def sums(part: pa.Table, rows: pa.Table) -> pa.Table:
+        """What the part's own bigrams add to their contexts."""
+        p = Part(part.to_pylist()[0], buckets)
+        q = Probabilities(p, rows.to_pylist(), d)
+        own = np.flatnonzero(q.owned & q.kept)
+        h = np.unique(p.h[own])
+        sp, s1 = (np.bincount(p.h[own], v, len(p.key))[h] for v in (q.p2[own], q.p1[p.w[own]]))
+        return pa.table({"key": p.key[h].view(np.int64), "bucket": bucket_of(p.key[h], buckets).astype(np.int32), "n": q.context[h], "sp": sp, "s1": s1})
+
+    answers = lambda *kinds: first.where(F.col("kind").isin(*kinds)).drop("stats")
+    contexts = parts.groupBy("part").cogroup(answers("RU", "RB").groupBy("part")).applyInArrow(sums, "key bigint, bucket int, n bigint, sp double, s1 double")
+    alphas = contexts.groupBy("key").agg(F.first("bucket").alias("bucket"), F.first("n").alias("n"), F.sum("sp").alias("sp"), F.sum("s1").alias("s1"))
+    # at least one count's share is left to unseen words
+    alphas = alphas.withColumn("shrink", F.expr("least(1D, (1 - 1 / (n + 1)) / sp)")).select("key", "bucket", "shrink", F.expr("log10((1 - sp * shrink) / greatest(1 - s1, 1e-300))").alias("alpha"))
+    second = materialize(ask("U").groupBy("bucket").cogroup(alphas.groupBy("bucket")).applyInArrow(answered, ROW), "katz-alphas")
+    settle()
+    base = np.log10(d.n + 0.5 * (d.v + 1))
+
+    def evaluate(part: pa.Table, rows: pa.Table) -> pa.Table:
+        p, rows = Part(part.to_pylist()[0], buckets), rows.to_pylist()
+        q = Probabilities(p, rows, d)
+        alpha, shrink = p.answers(rows, "RA", "U", 0), p.answers(rows, "RA", "U", 1, 1)
+        pair = np.log10(np.where(q.kept, q.p2 * shrink[p.h], 1.0))
+        one = np.log10(q.p1)
+        seen = q.kept[p.type]
+        each = np.where(seen, pair[p.type], alpha[p.ctx] + one[p.tok])
+        size = len(p.lens)
+        return pa.table(
             {
-                "doc_id": who.column("doc_id").cast(id_kind),
-                "held_out": pa.array(~who.column("train").to_numpy()),
-                "n_tokens": pa.array(tokens, pa.int64()),
-                "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array(np.full(size, d.n), pa.int64()),
-                "base_score": pa.array(base_sum - tokens * base),
-                "score": pa.array(total),
+                "doc_id": p.who.column("doc_id").cast(id_kind),
+                "held_out": pa.array(~p.who.column("train").to_numpy()),
+                "n_tokens": pa.array(p.lens),
+                "n_known": pa.array(np.bincount(p.doc, q.count[p.tok] > 0, size).astype(np.int64)),
+                "train_tokens": pa.array(np.full(size, d.n)),
+                "base_score": pa.array(np.bincount(p.doc, np.log10(q.count + 0.5)[p.tok], size) - p.lens * base),
+                "score": pa.array(np.bincount(p.doc, each, size)),
             }
         )
 
-    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return parts.groupBy("part").applyInArrow(add_up, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    told = answers("RU", "RB").union(second.drop("stats"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(evaluate, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
