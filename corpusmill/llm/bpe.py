@@ -8,9 +8,13 @@ chunk gets the ids it would get alone.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import heapq
 import re
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,9 @@ from ..session import ready_workers
 from .chunks import ChunkCache, check_file, read_file
 
 #: Ids decoded at a time, which bounds the memory for their strings.
-DECODE_IDS = 2_000_000
+DECODE_IDS = 1_000_000
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
 #: The pattern of the word_bpe file, and its form for lower-case ASCII.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
@@ -34,7 +38,7 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0
 class PairIndexCodec:
     """Ids of chunks by merging over a pair occurrence index; vocabulary, merges and splitting come from the file."""
 
-    at_once = 250_000
+    at_once = 80_000
 
     def __init__(self, path: str):
         spec = read_file(path)
@@ -159,14 +163,28 @@ class PairIndexCodec:
         return [out[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
 
-_HELD: dict[tuple[str, str], ChunkCache] = {}
+_CODECS: dict[tuple[str, str], object] = {}
 
 
-def cache_for(kind: str, path: str, make) -> ChunkCache:
-    """The process's cache for this file; workers are reused, so later tasks find it filled."""
-    if (kind, path) not in _HELD:
-        _HELD[kind, path] = ChunkCache(make(path))
-    return _HELD[kind, path]
+@contextmanager
+def cache_for(kind: str, path: str, make) -> Iterator[ChunkCache]:
+    """A cache for one task. The codec stays in the worker for later tasks; chunks and freed memory don't."""
+    if (kind, path) not in _CODECS:
+        _CODECS[kind, path] = make(path)
+    cache = ChunkCache(_CODECS[kind, path])
+    try:
+        yield cache
+    finally:
+        cache.reset()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as idle workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def token_strings(path: str) -> pa.Array:
@@ -201,22 +219,22 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = cache_for("pairs", path, PairIndexCodec)
         strings = token_strings(path) if decode else None
-        for batch in batches:
-            for part in by_bytes(batch, "text", SLICE_BYTES):
-                ids, counts = cache.encode(part.column("text").to_pylist())
-                ends = np.append(0, np.cumsum(counts)).astype(np.int32)
-                cols = {"id": part.column("id"), "n_tokens": pa.array(counts), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
-                if decode:
-                    cols["decoded"] = decode_lists(ids, counts, strings).combine_chunks()
-                yield pa.RecordBatch.from_pydict(cols)
+        with cache_for("pairs", path, PairIndexCodec) as cache:
+            for batch in batches:
+                for part in by_bytes(batch, "text", SLICE_BYTES):
+                    ids, counts = cache.encode(part.column("text").to_pylist())
+                    ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+                    cols = {"id": part.column("id"), "n_tokens": pa.array(counts), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
+                    if decode:
+                        cols["decoded"] = decode_lists(ids, counts, strings).combine_chunks()
+                    yield pa.RecordBatch.from_pydict(cols)
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, n_tokens bigint, ids array<int>" + (", decoded string" if decode else "")).withColumnRenamed("id", id_col)
 
 
-def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 32_000_000) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of text; a longer row makes a slice of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, begin = np.append(0, np.cumsum(size)), 0

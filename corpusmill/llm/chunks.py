@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 ODD = re.compile("[\x1c-\x1f]")
 PLAIN_SPACE = re.compile("[^ \t\n\r\x0b\x0c]+")
 #: Chunks held before the cache starts anew, and chunks looked up in one go.
-MAX_CHUNKS, GATHER = 600_000, 500_000
+MAX_CHUNKS, GATHER = 300_000, 500_000
 #: Tasks are the parallelism; the library's threads would only fight over the same cores.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 

@@ -25,7 +25,7 @@ from .fmindex import FMIndex
 WINDOW = 13
 #: The most bytes of benchmark text in one broadcast.
 CHUNK_BYTES = 16_000_000
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 8_000_000
 #: A word is a run of ASCII letters and digits and of bytes beyond ASCII; A-Z count as a-z.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 TABLE = bytes((b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32) for b in range(256))

@@ -116,18 +116,17 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_bytes:
     src = src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = cache_for("library", tokenizer, LibraryCodec)
-
-        def rows():
+        def rows(cache):
             for batch in batches:
                 for part in by_bytes(batch, "text", 4_000_000):
                     ids, counts = cache.encode(part.column("text").to_pylist())
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     yield part.column("doc_id").to_pylist(), ids, counts + 1
 
-        for blocks in block_stream(rows()):
-            for k in range(0, len(blocks), 256):
-                yield pa.RecordBatch.from_pydict({"value": pa.array(blocks[k : k + 256], pa.binary())})
+        with cache_for("library", tokenizer, LibraryCodec) as cache:
+            for blocks in block_stream(rows(cache)):
+                for k in range(0, len(blocks), 256):
+                    yield pa.RecordBatch.from_pydict({"value": pa.array(blocks[k : k + 256], pa.binary())})
 
     src.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SYNC).text(path)
 
