@@ -19,12 +19,15 @@ TELUGU_LEAD = "తెలుగు భాషలో సమాధానం ఇవ
 JOINERS, SET_ASIDE = "\u200c\u200d", "\u2028\u2029"
 
 
-@F.pandas_udf("string")
-def unescape_nfc(text: pd.Series) -> pd.Series:
-    """Character references decoded, then NFC: the two steps without a Spark built-in."""
+def _unescape_nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", html.unescape(t)))
 
 
+def unescape_nfc(c: Column | str) -> Column:
+    """Character references decoded, then NFC: the two steps without a Spark built-in."""
+    return F.pandas_udf(_unescape_nfc, "string")(c)
+
+
 def strip_unwanted(c: Column, keep_newlines: bool = True) -> Column:
     """Without control, format and private characters; joiners stay. Otherwise newlines and tabs go too."""
     aside = F.translate(c, JOINERS, SET_ASIDE)
