@@ -159,8 +159,9 @@ class Planner:
 PLAN = "branch bigint, step bigint, kind string, lane string, nth bigint, sample_ids array<string>, status string, reason string, score double, override boolean, batch_hash string, fingerprint string"
 
 
-def plan_branches(samples: DataFrame, stages: list[tuple[str, int, int]], quotas: dict[str, dict[str, int]], floors: dict[str, dict[str, int]], shares: dict[str, dict[str, float]], steps: int, seq_len: int) -> DataFrame:
-    """Rows of all branches' plans: bins (kind bin) and decisions (kind decision). Each branch plans over its samples."""
+def plan_branches(samples: DataFrame, stages: list[tuple[str, int, int]], quotas: dict[str, dict[str, int]], floors: dict[str, dict[str, int]], shares: dict[str, dict[str, float]], steps: int, seq_len: int, stop: int | None = None) -> DataFrame:
+    """Rows of all branches' plans: bins (kind bin) and decisions (kind decision). Each branch plans over its samples. At
+    step stop the state is dumped and a new planner goes on from it."""
 
     def stage_of(step: int) -> str:
         return next((n for n, a, b in stages if a <= step < b), stages[-1][0])
@@ -170,6 +171,8 @@ def plan_branches(samples: DataFrame, stages: list[tuple[str, int, int]], quotas
         p = Planner(g, stage_of, quotas.__getitem__, floors.__getitem__, shares.__getitem__, seq_len, branch)
         rows = []
         for step in range(steps):
+            if step == stop:
+                p = Planner(g, stage_of, quotas.__getitem__, floors.__getitem__, shares.__getitem__, seq_len, branch, State.load(p.state.dump()))
             placed, decisions = p.plan()
             sha = hashlib.sha256("|".join(keyed(lane, *b) for lane, b in placed).encode()).hexdigest()
             mark = p.state.fingerprint()

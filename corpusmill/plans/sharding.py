@@ -227,8 +227,8 @@ def floor_overrides(spark, sf_dir):
     return rj.select("lane", "sample_id", F.concat(F.lit("protected_floor_override(was:"), "reason", F.lit(")")).alias("reason"))
 
 
-def planned(spark, sf_dir) -> DataFrame:
-    """Plans of four branches (documents dealt by id), 12 steps each."""
+def planned(spark, sf_dir, stop: int | None = None) -> DataFrame:
+    """Plans of four branches (documents dealt by id), 12 steps each; with stop, states are dumped and restored there."""
     from ..operators import dedup
 
     d = docs(spark, sf_dir)
@@ -240,7 +240,7 @@ def planned(spark, sf_dir) -> DataFrame:
         q["en"] += BATCH - sum(q.values())
     floors = {n: {ln: 1 for st, ln, _, f in SHARES if st == n and f > 0} for n, _, _ in STAGES}
     stages = [(n, a // 5, b // 5) for n, a, b in STAGES]
-    return planner.plan_branches(s, stages, quotas, floors, sh, 12, SEQ)
+    return planner.plan_branches(s, stages, quotas, floors, sh, 12, SEQ, stop)
 
 
 @query()

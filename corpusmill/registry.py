@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = "cleaning dedup".split()
+PLANS = "cleaning dedup contamination mixture sharding tokens analytics ledgers numeric relational streams".split()
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -41,3 +41,15 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return _SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean, exact-deduplicate and decontaminate the documents: what is left of them."""
+    from .operators import clean, contamination, dedup
+    from .session import table
+
+    docs = table(spark, sf_dir, "documents")
+    good = docs.where(clean.drop_reason().isNull())
+    first = dedup.exact(good, ["doc_id"]).where("duplicate_of IS NULL").drop("duplicate_of")
+    bad = contamination.contaminated(first, table(spark, sf_dir, "benchmark"))
+    return first.join(bad, "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars", "text")
