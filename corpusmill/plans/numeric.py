@@ -109,12 +109,12 @@ def nn_same_label_rate(spark, sf_dir):
     return out.groupBy("label").agg(F.count("*").alias("vectors"), F.round(F.avg(F.when(F.col("label") == F.col("other"), 1.0).otherwise(0.0)), 6).alias("same"))
 
 
-@query("SELECT event_id, CASE WHEN value < 0 THEN 1 ELSE 0 END AS sign, CASE WHEN value = 0 THEN 0 ELSE CAST(floor(log2(abs(value))) AS BIGINT) END AS exponent, round(CASE WHEN value = 0 THEN 0 ELSE abs(value) / pow(2, floor(log2(abs(value)))) END, 4) AS mantissa FROM events")
+@query("SELECT event_id, CASE WHEN value < 0 THEN 1 ELSE 0 END AS sign, CASE WHEN value = 0 THEN 0 ELSE CAST(floor(log2(abs(value))) AS BIGINT) END AS exponent, floor(CASE WHEN value = 0 THEN 0 ELSE abs(value) / pow(2, floor(log2(abs(value)))) END * 10000) AS mantissa FROM events")
 def float_parts(spark, sf_dir):
     """Sign, exponent and mantissa of numbers."""
     x = F.abs("value")
     e = F.floor(F.log2(x))
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") < 0, 1).otherwise(0).alias("sign"), F.when(x == 0, 0).otherwise(e).cast("long").alias("exponent"), F.round(F.when(x == 0, 0.0).otherwise(x / F.pow(F.lit(2.0), e)), 4).alias("mantissa"))
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("value") < 0, 1).otherwise(0).alias("sign"), F.when(x == 0, 0).otherwise(e).cast("long").alias("exponent"), F.floor(F.when(x == 0, 0.0).otherwise(x / F.pow(F.lit(2.0), e)) * 10000).cast("double").alias("mantissa"))
 
 
 @query("SELECT params, CAST(6 * params AS DOUBLE) AS flops_per_token, round(6.0 * params * 10000 / 1e13, 6) AS mfu FROM (SELECT unnest(CAST([17000000, 125000000, 1300000000] AS BIGINT[])) AS params)")
