@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import drop, materialize, ready_workers
@@ -80,18 +81,19 @@ def cells(fps: DataFrame) -> DataFrame:
 
 
 def in_range(fps: DataFrame) -> DataFrame:
-    """Fingerprints (distinct) with another one at a Manhattan distance of at most two."""
-    put = cells(fps)
-    shared = put.groupBy("cell").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("cell")
-    return put.join(shared, "cell", "left_semi").select("fp").distinct()
+    """Fingerprints (distinct) with another one at a Manhattan distance of at most two. A cell's rows meet once, in a window
+    that spills; nothing is joined back."""
+    in_cell = W.partitionBy("cell")
+    put = cells(fps).withColumn("a", F.min("fp").over(in_cell)).withColumn("b", F.max("fp").over(in_cell))
+    return put.where("a < b").select("fp").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v), v < u, of stars whose components are those of all pairs within two bits; fps: distinct."""
     near = materialize(in_range(fps), "simhash-near")
     middle = near.select("fp", F.expr("explode(sequence(0, 64))").alias("b")).select("fp", F.expr("CASE WHEN b = 0 THEN fp ELSE fp ^ shiftleft(1L, b - 1) END").alias("mid"))
-    root = middle.groupBy("mid").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v < w").select("mid", "v")
-    return middle.join(root, "mid").select(F.col("fp").alias("u"), "v").where("v < u AND bit_count(u ^ v) <= 2").distinct()
+    star = middle.withColumn("v", F.min("fp").over(W.partitionBy("mid")))
+    return star.select(F.col("fp").alias("u"), "v").where("v < u AND bit_count(u ^ v) <= 2").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -130,7 +132,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     held = materialize(fingerprints(df, id_col, text_col), "simhash-fp")
     nodes = held.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    tree = components(links(held.select("fp").distinct()))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes now, but 50 cells for each to come
+    tree = components(links(held.select("fp").repartition(parts, "fp").distinct()))
     rooted = nodes.join(tree.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     ends = tree.select(F.col("v").alias("fp")).distinct().withColumn("linked", F.lit(True))
     rooted = rooted.join(ends, "fp", "left")
