@@ -159,9 +159,14 @@ def keep(weights: list[int], window: int, surge: int) -> list[bool]:
         begin = k
         while begin > 0 and weights[begin - 1]:  # the rise may have begun below the threshold
             begin -= 1
+        while begin < n and not weights[begin]:
+            begin += 1
         while k < n and sums[k]:
             k += 1
-        out[begin : min(n, k + window - 1)] = [True] * (min(n, k + window - 1) - begin)
+        end = k
+        while end > begin and not weights[end - 1]:
+            end -= 1
+        out[begin:end] = [True] * (end - begin)
     return out
 
 
