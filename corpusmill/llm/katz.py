@@ -310,8 +310,8 @@ def score(df: DataFrame) -> DataFrame:
         q = Probabilities(p, rows.to_pylist(), d)
         own = np.flatnonzero(q.owned & q.kept)
         h = np.unique(p.h[own])
-        sp, s1 = (np.bincount(p.h[own], v, len(p.key))[h] for v in (q.p2[own], q.p1[p.w[own]]))
-        return pa.table({"key": p.key[h].view(np.int64), "bucket": bucket_of(p.key[h], buckets).astype(np.int32), "n": q.context[h], "sp": sp, "s1": s1})
+        sp, s1 = (np.bincount(p.h[own], v, len(p.key)).astype(np.float64)[h] for v in (q.p2[own], q.p1[p.w[own]]))
+        return pa.table({"key": p.key[h].view(np.int64), "bucket": bucket_of(p.key[h], buckets).astype(np.int32), "n": q.context[h].astype(np.int64), "sp": sp, "s1": s1})
 
     answers = lambda *kinds: first.where(F.col("kind").isin(*kinds)).drop("stats")
     contexts = parts.groupBy("part").cogroup(answers("RU", "RB").groupBy("part")).applyInArrow(sums, "key bigint, bucket int, n bigint, sp double, s1 double")
