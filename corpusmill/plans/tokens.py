@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -316,8 +317,12 @@ def byte_corpus(spark, sf_dir):
 def merge_steps(spark, sf_dir):
     """Q2: one merge over lists of ids, from the left, never overlapping."""
     t = docs(spark, sf_dir).select("doc_id", shards.token_ids().alias("ids"))
-    fold = F.expr("""aggregate(ids, cast(array() as array<int>), (a, x) -> if(size(a) > 0 and element_at(a, -1) = 5 and x = 6, array_append(slice(a, 1, size(a) - 1), 999), array_append(a, x)))""")
-    return t.select("doc_id", F.size("ids").cast("long").alias("before"), F.size(fold).cast("long").alias("after"))
+
+    def run(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: K.merge_step(list(x), (5, 6), 999))
+
+    merged = F.pandas_udf(run, "array<int>")("ids")
+    return t.select("doc_id", F.size("ids").cast("long").alias("before"), F.size(merged).cast("long").alias("after"))
 
 
 VOCAB = [(0, "Ġthe"), (1, "▁la"), (2, "ing"), (3, "Ċ"), (4, "<s>")]
