@@ -205,11 +205,11 @@ def expert_load(spark, sf_dir):
     return s.groupBy("layer").agg(F.round(F.max("share"), 6).alias("max_load"), F.count_if(F.col("share") < 0.05).alias("dead"))
 
 
-@query("SELECT event_type, arg_min(event_id, value) AS best FROM events WHERE isfinite(value) AND value > 1 GROUP BY 1")
+@query("SELECT event_type, (min({'v': value, 'e': event_id})).e AS best FROM events WHERE isfinite(value) AND value > 1 GROUP BY 1")
 def best_variant(spark, sf_dir):
-    """The smallest finite value that passes a test."""
+    """The smallest finite value that passes a test; of equal ones the first."""
     ok = ~F.isnan("value") & (F.abs("value") < float("inf")) & (F.col("value") > 1)
-    return table(spark, sf_dir, "events").where(ok).groupBy("event_type").agg(F.min_by("event_id", "value").alias("best"))
+    return table(spark, sf_dir, "events").where(ok).groupBy("event_type").agg(F.min(F.struct("value", "event_id")).alias("x")).select("event_type", F.col("x.event_id").alias("best"))
 
 
 @query(f"WITH {LOG} SELECT lane, round(sum(value * tokens) / sum(tokens) / ln(2) / 4.2, 6) AS bits_per_byte FROM log GROUP BY lane")
