@@ -78,6 +78,11 @@ def count(c: Column | str, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern)).cast("long")
 
 
+def count_chars(c: Column | str, letters: str) -> Column:
+    """How many characters are of a class: what is gone once its runs are removed, which matches runs, not characters."""
+    return (F.length(col(c)) - F.length(F.regexp_replace(col(c), letters + "+", ""))).cast("long")
+
+
 def lines(c: Column | str) -> Column:
     """Lines that aren't blank."""
     return F.filter(F.split(col(c), "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "")
@@ -85,15 +90,16 @@ def lines(c: Column | str) -> Column:
 
 def dup_line_ratio(c: Column | str) -> Column:
     """1 - distinct / all non-blank lines; 0 without lines."""
-    x = lines(c)
-    return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(x)) / F.size(x))
+    return let(lines(c), lambda x: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(x)) / F.size(x)))
 
 
-def mean_word_length(c: Column | str) -> Column:
+def mean_length(w: Column) -> Column:
     """Characters of words by words; null without words."""
-    x = words(c)
-    total = F.aggregate(x, F.lit(0), lambda a, w: a + F.length(w))
-    return F.when(F.size(x) > 0, total / F.size(x))
+    return F.when(F.size(w) > 0, F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / F.size(w))
+
+
+def mean_word_length(c: Column | str) -> Column:
+    return let(words(c), mean_length)
 
 
 def symbol_ratio(c: Column | str, kind: str = "script_aware") -> Column:
@@ -103,16 +109,16 @@ def symbol_ratio(c: Column | str, kind: str = "script_aware") -> Column:
     as alnum, without common punctuation; 1 for an empty text.
     """
     text = {"script_aware": "[\\p{L}\\p{M}\\p{N} \\t\\n\\r\\f]", "alnum": "[\\p{L}\\p{N} \\t\\n\\r\\f]", "selector": "[\\p{L}\\p{N} \\t\\n\\r\\f.,'\"\\-?!:;()]"}[kind]
-    ratio = 1 - count(c, text) / F.greatest(F.length(col(c)), F.lit(1))
+    ratio = 1 - F.length(F.regexp_replace(col(c), f"[^{text[1:-1]}]+", "")) / F.greatest(F.length(col(c)), F.lit(1))
     return F.when(F.length(col(c)) == 0, F.lit(1.0)).otherwise(ratio) if kind == "selector" else ratio
 
 
 def telugu(c: Column | str) -> Column:
-    return count(c, "[\\x{0C00}-\\x{0C7F}]")
+    return count_chars(c, "[\\x{0C00}-\\x{0C7F}]")
 
 
 def ascii_letters(c: Column | str) -> Column:
-    return count(c, "[A-Za-z]")
+    return count_chars(c, "[A-Za-z]")
 
 
 def has_any(c: Column | str, stop: list[str]) -> Column:

@@ -74,15 +74,20 @@ def drop_reason(c: str = "text", script_aware: bool = True, stop: list[str] | No
     """The first failing test, else null: too_short, symbol_ratio, mean_word_length, duplicate_lines, no_stopwords."""
     stop = stop or sorted({w for ws in T.STOP_BY_LANG.values() for w in ws} | set(T.STOP_EN))
     indic = (T.telugu(c) > T.ascii_letters(c)) & F.lit(script_aware)
-    longest = F.when(indic, 14.0).otherwise(10.0)
-    mean = T.mean_word_length(c)
-    return (
-        F.when(T.n_words(c) < MIN_WORDS, "too_short")
-        .when(T.symbol_ratio(c, "script_aware" if script_aware else "alnum") > MAX_SYMBOLS, "symbol_ratio")
-        .when((mean < 3.0) | (mean > longest), "mean_word_length")
-        .when(T.dup_line_ratio(c) > MAX_DUP_LINES, "duplicate_lines")
-        .when(F.when(indic, ~T.has_any(c, T.STOP_TE)).otherwise(~T.has_any(c, stop)), "no_stopwords")
-    )
+    lower = lambda w: F.transform(w, F.lower)
+    among = lambda w, some: F.arrays_overlap(lower(w), F.array(*map(F.lit, some)))
+
+    def of_words(w: Column) -> Column:
+        mean = T.let(T.mean_length(w), lambda m: (m < 3.0) | (m > F.when(indic, 14.0).otherwise(10.0)))
+        return (
+            F.when(F.size(w) < MIN_WORDS, "too_short")
+            .when(T.symbol_ratio(c, "script_aware" if script_aware else "alnum") > MAX_SYMBOLS, "symbol_ratio")
+            .when(mean, "mean_word_length")
+            .when(T.dup_line_ratio(c) > MAX_DUP_LINES, "duplicate_lines")
+            .when(F.when(indic, ~among(w, T.STOP_TE)).otherwise(~among(w, stop)), "no_stopwords")
+        )
+
+    return T.let(T.words(c), of_words)
 
 
 def drop_reason_v1(c: str = "text") -> Column:
