@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import drop, materialize, ready_workers
+
 #: A run of blanks belongs to the word after it, so the pieces join to the text again.
 PRE_TOKEN = "([ \\t\\n\\r\\f]*[^ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+)"
 
@@ -42,34 +46,84 @@ def merge_step(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
     return out
 
 
-def train(words: DataFrame, merges: int, at_most: int = 50_000) -> list[tuple[int, int]]:
-    """Merges in order: the commonest pair (ties: the larger merged bytes), then again. Works on the at_most commonest
-    words (a bound of the sample, by count then word); counts are updated for the words that hold the pair only."""
-    rows = words.orderBy(F.desc("n"), "word").limit(at_most).collect()
-    seqs = [list(r.word.encode()) for r in rows]
-    weight = [r.n for r in rows]
-    text = {i: bytes([i]) for i in range(256)}
-    counts: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = {}
-    for k, s in enumerate(seqs):
-        for p in zip(s, s[1:]):
-            counts[p] += weight[k]
-            where.setdefault(p, set()).add(k)
-    out = []
-    for new in range(256, 256 + merges):
-        best = max((p for p in counts if counts[p] > 0), key=lambda p: (counts[p], text[p[0]] + text[p[1]]), default=None)
+BLOCK = "ids binary, n binary, pairs array<struct<a:int,b:int,bytes:string,n:bigint>>"
+BLOCK_IDS = 4_000_000
+
+
+def merge_flat(x: np.ndarray, pair: tuple[int, int], new: int) -> np.ndarray:
+    """merge_step over many words at once, -1 after each."""
+    at = np.flatnonzero((x[:-1] == pair[0]) & (x[1:] == pair[1]))
+    if pair[0] == pair[1] and len(at):  # in a run, every other one
+        first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+    x[at] = new
+    return np.delete(x, at + 1)
+
+
+def block_pairs(x: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, how often) of adjacent ids under size, weighted by the words' counts."""
+    word = np.cumsum(x < 0)[:-1]
+    real = (x[:-1] >= 0) & (x[1:] >= 0)
+    key, at = np.unique(x[:-1][real] * np.int64(size) + x[1:][real], return_inverse=True) if size > 2048 else (np.arange(size * size), x[:-1][real] * np.int64(size) + x[1:][real])
+    count = np.bincount(at, n[word[real]], len(key)).astype(np.int64)
+    there = np.flatnonzero(count)
+    return key[there] // size, key[there] % size, count[there]
+
+
+def block_row(x: np.ndarray, n: np.ndarray, text: list[bytes]) -> pa.RecordBatch:
+    a, b, count = (v.tolist() for v in block_pairs(x, n, len(text)))
+    pairs = [{"a": i, "b": j, "bytes": (text[i] + text[j]).hex(), "n": c} for i, j, c in zip(a, b, count)]
+    kind = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("bytes", pa.string()), ("n", pa.int64())])
+    return pa.RecordBatch.from_pydict({"ids": pa.array([x.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()), "pairs": pa.array([pairs], pa.list_(kind))})
+
+
+def train(words: DataFrame, merges: int) -> list[tuple[int, int]]:
+    """Merges in order: the commonest pair (ties: the larger merged bytes, then the smaller ids), then again. All words
+    count. They stay distributed, as blocks of ids that each step rewrites with their pair counts; the driver gets the best
+    pair of the step."""
+    ready_workers(words.sparkSession)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = token_bytes([])
+        held: list[np.ndarray] = []
+        counts: list[int] = []
+        size = 0
+        for batch in batches:
+            for w, c in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                held.append(np.append(np.frombuffer(w, np.uint8).astype(np.int32), np.int32(-1)))
+                counts.append(c)
+                size += len(held[-1])
+                if size >= BLOCK_IDS:
+                    yield block_row(np.concatenate(held), np.array(counts, np.int64), text)
+                    held, counts, size = [], [], 0
+        if held:
+            yield block_row(np.concatenate(held), np.array(counts, np.int64), text)
+
+    def step(out: list[tuple[int, int]]):
+        text = token_bytes(out)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    x = merge_flat(np.frombuffer(r["ids"], np.int32).copy(), out[-1], len(text) - 1)
+                    yield block_row(x, np.frombuffer(r["n"], np.int64), text)
+
+        return run
+
+    each = words.select(F.encode("word", "utf-8").alias("word"), "n").where("octet_length(word) > 1")
+    state = materialize(each.mapInArrow(start, BLOCK), "bpe-words")
+    out: list[tuple[int, int]] = []
+    while len(out) < merges:
+        pairs = state.select(F.explode("pairs").alias("p")).groupBy("p.a", "p.b", "p.bytes").agg(F.sum("p.n").alias("n"))
+        best = pairs.agg(F.max(F.struct("n", "bytes", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")).first().m
         if best is None:
             break
-        out.append(best)
-        text[new] = text[best[0]] + text[best[1]]
-        for k in list(where.get(best, ())):
-            for p in zip(seqs[k], seqs[k][1:]):
-                counts[p] -= weight[k]
-            seqs[k] = merge_step(seqs[k], best, new)
-            for p in zip(seqs[k], seqs[k][1:]):
-                counts[p] += weight[k]
-                where.setdefault(p, set()).add(k)
-        counts.pop(best, None)
+        out.append((-best.a, -best.b))
+        if len(out) < merges:
+            new = materialize(state.select("ids", "n").mapInArrow(step(list(out)), BLOCK), "bpe-words")
+            drop(state)
+            state = new
+    drop(state)
     return out
 
 

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -187,6 +189,34 @@ def test_bpe_training_and_models(spark):
     assert tokens.water_fill(lambda given: min("ab", key=lambda x: (given.get(x, 0), x)), 60) == {"a": 35, "b": 25}
 
 
+def brute_bpe(texts, merges):
+    words = Counter(w for t in texts for w in re.findall(tokens.PRE_TOKEN, t or ""))
+    seqs, known, out = [(list(w.encode()), n) for w, n in words.items()], tokens.token_bytes([]), []
+    for new in range(256, 256 + merges):
+        counts = Counter()
+        for s, n in seqs:
+            for p in zip(s, s[1:]):
+                counts[p] += n
+        if not counts:
+            break
+        out.append(max(counts, key=lambda p: (counts[p], known[p[0]] + known[p[1]], -p[0], -p[1])))
+        known.append(known[out[-1][0]] + known[out[-1][1]])
+        seqs = [(tokens.merge_step(s, out[-1], new), n) for s, n in seqs]
+    return out
+
+
+def test_bpe_training_uses_all_words(spark):
+    # 50,000 words that stand twice and hold no q; 40,000 that stand once, all with qj
+    rare = spark.range(40_000).selectExpr("concat('qjqj', id) AS word", "1L AS n")
+    often = spark.range(50_000).selectExpr("concat('z', id) AS word", "2L AS n")
+    merges = tokens.train(often.union(rare), 1)
+    assert tokens.token_bytes(merges)[256] == b"qj"
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aab") for _ in range(rng.randint(1, 12))) for _ in range(40)) for _ in range(30)] + ["aaaaaaa é  aa", "", None]
+    assert tokens.train(tokens.word_counts(docs(spark, texts)), 25) == brute_bpe(texts, 25)
+    assert tokens.train(tokens.word_counts(docs(spark, ["a", ""])), 3) == []
+
+
 def test_sources(spark):
     d = spark.createDataFrame([(1, "é", None), (2, "b", 2.5)], "k bigint, s string, x double")
     path = scratch(spark, "lines")
