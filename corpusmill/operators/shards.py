@@ -147,9 +147,34 @@ def array_hash(*arrays: str) -> Column:
     return F.pandas_udf(_array_hash, "string")(*arrays)
 
 
+def relation(segments: np.ndarray) -> np.ndarray:
+    """For rows of segment ids, whether position i (second axis) attends to j (third): j is not after it, in its segment and
+    real, or is itself."""
+    n = segments.shape[1]
+    same = (segments[:, :, None] == segments[:, None, :]) & (segments[:, None, :] != PAD_SEGMENT)
+    return same & np.tri(n, dtype=bool) | np.eye(n, dtype=bool)
+
+
 def attention(binned: DataFrame) -> DataFrame:
-    """(lane, chunk, bin, i, j): position i attends to j if j is not after it, in its segment and real, or is itself."""
-    p = binned.select("lane", "chunk", "bin", F.posexplode("segment_ids").alias("pos", "seg"))
-    a, b = p.withColumnsRenamed({"pos": "i", "seg": "si"}), p.withColumnsRenamed({"pos": "j", "seg": "sj"})
-    met = a.join(b, ["lane", "chunk", "bin"])
-    return met.where((F.col("i") == F.col("j")) | ((F.col("j") < F.col("i")) & (F.col("si") == F.col("sj")) & (F.col("sj") != PAD_SEGMENT))).select("lane", "chunk", "bin", "i", "j")
+    """(lane, chunk, bin, i, j): position i attends to j."""
+
+    def run(segments: pd.Series) -> pd.Series:
+        return pd.Series([[{"i": i, "j": j} for i, j in np.argwhere(relation(np.array([s]))[0]).tolist()] for s in segments])
+
+    pairs = F.pandas_udf(run, "array<struct<i:int,j:int>>")("segment_ids")
+    return binned.select("lane", "chunk", "bin", F.inline(pairs))
+
+
+def attention_checks(binned: DataFrame, relation: Callable[[np.ndarray], np.ndarray] = relation) -> DataFrame:
+    """(causal, within_segment, every_position_attends_itself) of each bin; its relation is built in its row only."""
+
+    def run(segments: pd.Series) -> pd.DataFrame:
+        out = []
+        for s in segments:
+            seg = np.asarray(s)
+            i, j = np.nonzero(relation(seg[None])[0])
+            inside = (i == j) | ((seg[i] == seg[j]) & (seg[j] != PAD_SEGMENT))
+            out.append((bool((j <= i).all()), bool(inside.all()), int((i == j).sum()) == len(seg)))
+        return pd.DataFrame(out, columns=["causal", "within_segment", "every_position_attends_itself"])
+
+    return binned.select(F.pandas_udf(run, "causal boolean, within_segment boolean, every_position_attends_itself boolean")("segment_ids").alias("r")).select("r.*")

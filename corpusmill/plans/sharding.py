@@ -146,13 +146,9 @@ def bin_invariants(spark, sf_dir):
 
 @query("SELECT true AS causal, true AS within_segment, true AS every_position_attends_itself")
 def attention_invariants(spark, sf_dir):
-    """The attention relation over the first bins of each lane (a sampling check)."""
-    b = materialize(binned(spark, sf_dir).where("bin < 2"), "bins")
-    a = shards.attention(b)
-    seg = b.select("lane", "chunk", "bin", F.posexplode("segment_ids").alias("pos", "seg"))
-    a = a.join(seg.withColumnsRenamed({"pos": "i", "seg": "si"}), ["lane", "chunk", "bin", "i"]).join(seg.withColumnsRenamed({"pos": "j", "seg": "sj"}), ["lane", "chunk", "bin", "j"])
-    own = a.where("i = j").agg(F.count("*").alias("n")).join(seg.agg(F.count("*").alias("m"))).select((F.col("n") == F.col("m")).alias("every_position_attends_itself"))
-    return a.agg(F.bool_and(F.col("j") <= F.col("i")).alias("causal"), F.bool_and((F.col("i") == F.col("j")) | (F.col("si") == F.col("sj"))).alias("within_segment")).join(own)
+    """The attention relation of every bin."""
+    c = shards.attention_checks(binned(spark, sf_dir))
+    return c.agg(*(F.bool_and(x).alias(x) for x in c.columns))
 
 
 @query(f"WITH {SPANS} SELECT lang AS lane, CAST(count(*) AS BIGINT) AS samples, round(avg(n_tokens), 6) AS mean_len, CAST(trunc(quantile_cont(n_tokens, 0.5)) AS BIGINT) AS p50, CAST(trunc(quantile_cont(n_tokens, 0.95)) AS BIGINT) AS p95, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM spans GROUP BY lang")

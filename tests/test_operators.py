@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import clean, contamination, dedup, ledger, mixture, planner, series, shards, tokens
+from corpusmill.plans import sharding
 from corpusmill.plans.numeric import largest_that_fits
 from corpusmill.session import scratch
 from corpusmill.sources import tables
@@ -128,6 +130,21 @@ def test_bins(spark):
     assert r.position_ids == [0, 1, 2, 3, 0, 1, 2, 0, 0, 0] and r.loss_mask == [0, 1, 1, 1, 0, 1, 1, 0, 0, 0] and r.loss_tokens == 5
 
 
+def test_attention_of_every_bin(spark, sf_dir, monkeypatch):
+    segs = [[0] * 4, [0] * 4, [0, 0, 1, -1]]
+    b = spark.createDataFrame([("en", 0, k, s) for k, s in enumerate(segs)], "lane string, chunk bigint, bin bigint, segment_ids array<int>")
+    got = {k: {(r.i, r.j) for r in shards.attention(b).where(f"bin = {k}").collect()} for k in (0, 2)}
+    assert got == {0: {(i, j) for i in range(4) for j in range(i + 1)}, 2: {(0, 0), (1, 0), (1, 1), (2, 2), (3, 3)}}
+    leaky = lambda s: np.repeat(np.tri(s.shape[1], dtype=bool)[None], len(s), 0)
+    assert [tuple(r) for r in shards.attention_checks(b, leaky).collect()] == [(True, True, True)] * 2 + [(True, False, True)]
+    # the query sees a bin of any number
+    seen = []
+    checks = shards.attention_checks
+    monkeypatch.setattr(shards, "attention_checks", lambda x: seen.append(x.count()) or checks(x))
+    monkeypatch.setattr(sharding, "binned", lambda *_: b)
+    assert sharding.attention_invariants(spark, sf_dir).first() == (True, True, True) and seen == [3]
+
+
 def test_planner_restores(spark):
     rows = [(f"s{k}", "ab"[k % 2], 20 + k % 100, f"h{k}", 0.0, [k, k + 1]) for k in range(200)]
     g = pd.DataFrame(rows, columns=["sample_id", "lane", "n_tokens", "token_hash", "symbol_ratio", "sketch"])
