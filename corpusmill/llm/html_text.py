@@ -1,10 +1,10 @@
 """Main text of HTML pages by their line-block distribution (operator 5).
 
 Markup is stripped first: comments, raw-text elements and elements that are boilerplate by tag, role, class or id. Every
-border of a block element then begins a new line, so a page is a list of lines, many of them empty. Text lengths (without
-links where a line is mostly links) are summed over sliding windows of lines. A surge is where the sum rises to the
-threshold, a dive where it falls to zero; the text between surge and dive is kept. In a page that marks its article, lines
-outside weigh nothing and any text in it surges.
+border of a block element then begins a new line. Text lengths (without links where a line is mostly links) are summed over
+sliding windows of the lines that hold text. A dive is where the sum falls to zero; a run of lines between two dives surges
+if its text reaches the threshold, however short its lines are, and is kept. In a page that marks its article, lines outside
+weigh nothing and all text in it is kept.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import ready_workers
 from .bpe import by_bytes
 
-#: Lines in a window, and characters that make a surge in a page without a marked article.
+#: Lines in a window, and characters of a run that make a surge in a page without a marked article.
 WINDOW, SURGE = 4, 80
 LINK_SHARE = 0.6
 
@@ -145,27 +145,29 @@ def lines_of(page: str, by_names: bool) -> tuple[list[list], bool]:
 
 
 def keep(weights: list[int], window: int, surge: int) -> list[bool]:
-    """Which lines lie between a surge and the dive after it."""
+    """Which lines lie in a run between two dives whose text reaches the surge; if none does, all runs are kept."""
     n = len(weights)
     total, sums = sum(weights[:window]), []
     for k in range(n):
         sums.append(total)
         total += (weights[k + window] if k + window < n else 0) - weights[k]
-    out, k = [False] * n, 0
+    runs, k = [], 0
     while k < n:
-        if sums[k] < surge:
+        if not sums[k]:
             k += 1
             continue
         begin = k
-        while begin > 0 and weights[begin - 1]:  # the rise may have begun below the threshold
-            begin -= 1
-        while begin < n and not weights[begin]:
+        while not weights[begin]:
             begin += 1
         while k < n and sums[k]:
             k += 1
         end = k
-        while end > begin and not weights[end - 1]:
+        while not weights[end - 1]:
             end -= 1
+        runs.append((begin, end))
+    strong = [r for r in runs if sum(weights[slice(*r)]) >= surge] or runs
+    out = [False] * n
+    for begin, end in strong:
         out[begin:end] = [True] * (end - begin)
     return out
 
@@ -177,12 +179,11 @@ def extract(page: str | None) -> str:
     lines, marked = lines_of(page, True)
     if not any(t for t, _, _ in lines):
         lines, marked = lines_of(page, False)
+    lines = [line for line in lines if line[0]]
     if marked:
         weights, surge = [len(t) if inside else 0 for t, _, inside in lines], 1
     else:
         weights, surge = [0 if links > LINK_SHARE * len(t) else len(t) for t, links, _ in lines], SURGE
-        if sum(weights) < SURGE:
-            surge = 1
     kept = keep(weights, WINDOW, surge)
     return "\n".join(t for (t, _, inside), w, k in zip(lines, weights, kept) if t and k and (w or not marked))
 

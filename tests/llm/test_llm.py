@@ -243,6 +243,16 @@ def test_op5():
     assert html_text.extract("<article><p>kept<div class='sidebar'>x</div><p>" + "y" * 50) == "kept\n" + "y" * 50
 
 
+def test_op5_runs_of_short_blocks():
+    short = [f"Line {k}." for k in range(200)]
+    for block in ("<div><p>{}</p></div>", "<ul><li><p>{}</p></li></ul>", "<table><tr><td>{}</td></tr></table>", "<p>{}</p>"):
+        assert html_text.extract("<body>" + "".join(map(block.format, short)) + "</body>") == "\n".join(short)
+    links = "<p><a href=x>a link of a list</a></p>" * 6
+    body = "<div><p>yes</p></div><div><p>no</p></div>" * 50
+    assert html_text.extract(f"<body>{links}<p>stray</p>{links}{body}{links}") == "\n".join(["yes", "no"] * 50)
+    assert html_text.extract(f"<body><p>one</p>{links}<p>two</p>{links}") == "one\ntwo"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/apdiv \"'=!-&;x\n", max_size=80))
 def test_op5_survives_anything(page):
