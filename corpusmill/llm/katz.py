@@ -1,9 +1,9 @@
 """Katz backoff scores from n-gram counts over the whole training fold (operator 8).
 
 A bigram model: log p(w | h) is that of the discounted bigram if it was kept, else alpha(h) p(w), down to the discounted
-unigram and the class of unknown words. Counts up to K are discounted by Good-Turing; bigrams seen fewer than MIN_BIGRAM
-times in training aren't kept and count as unseen, which alpha(h) makes up for exactly: the probabilities of all known
-words and of the unknown class sum to one after every context.
+unigram and the class of unknown words. Counts up to K are discounted by Good-Turing; every bigram seen in training is kept
+(MIN_BIGRAM is 1), and alpha(h) makes up for the others exactly: the probabilities of all known words and of the unknown
+class sum to one after every context.
 
 Texts are read once and stored in parts, as numbers of the part's own words. Then parts ask and buckets answer. A part
 sends the sorted 64-bit hashes of its words and bigrams with their training counts, dealt out by hash, so a frequent word
@@ -34,7 +34,7 @@ from .bpe import by_bytes
 from .chunks import _Numbers
 from .tokenbin import input_bytes
 
-K, MIN_BIGRAM = 5, 2
+K, MIN_BIGRAM = 5, 1
 #: Bytes of text in a part, and input bytes for each bucket.
 PART_BYTES, BUCKET_BYTES = 8_000_000, 16_000_000
 #: Fixed keys of the end of a text and of the place before its first word.

@@ -427,6 +427,14 @@ def test_op8(spark, n):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], abs_tol=1e-6) and math.isclose(a[6], b[6], abs_tol=1e-6)
 
 
+def test_op8_keeps_bigrams_seen_once(spark):
+    ids = [k for k in range(100) if katz.learns(k)]
+    new = [k for k in range(100, 120) if not katz.learns(k)][:2]
+    rows = [(k, f"a{k} b{k}") for k in ids] + [(new[0], f"a{ids[3]} b{ids[3]}"), (new[1], f"a{ids[3]} b{ids[4]}")]
+    got = {r.doc_id: r.score for r in katz.score(table(spark, rows)).collect()}
+    assert got[new[0]] > got[new[1]] + 0.5
+
+
 def test_op8_good_turing():
     counts = [1000, 400, 210, 130, 90, 65]
     d = katz.good_turing(counts)
