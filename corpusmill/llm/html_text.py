@@ -25,7 +25,10 @@ WINDOW, SURGE = 4, 80
 LINK_SHARE = 0.6
 
 # Element names of HTML, and words that name boilerplate in roles, classes and ids.
-RAW = "script style noscript template textarea iframe svg math object audio video canvas head title xmp".split()
+CODE = "script style".split()
+RAW = "textarea iframe title xmp".split()
+HIDDEN = frozenset([*RAW, *"head noscript template svg math object audio video canvas".split()])
+IN_HEAD = HIDDEN - {"svg", "math", "object", "audio", "video", "canvas"} | frozenset("html base basefont bgsound link meta".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -47,7 +50,7 @@ SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}
 
 ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">])*+"""
 TOKEN = re.compile(
-    rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>{'|'.join(RAW)})\b{ATTRS}>(?:.*?</(?P=raw)\s*[^>]*>|.*\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{ATTRS})>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
+    rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<code>{'|'.join(CODE)})\b{ATTRS}>(?:.*?</(?P=code)\s*[^>]*>|.*\Z)|<(?P<raw>{'|'.join(RAW)})\b{ATTRS}>.*?</(?P=raw)\s*[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{ATTRS})>|<[/!?][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -70,13 +73,31 @@ def is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     return any(w in WORDS or w.startswith(STEMS) for w in names)
 
 
-def lines_of(page: str, by_names: bool) -> tuple[list[list], bool]:
-    """Lines as [text, characters in links, inside an article], and whether an article holds text."""
+def unclosed(tokens: list[re.Match]) -> set[int]:
+    """Which start tags of hidden elements have no end tag."""
+    waiting: dict[str, list[int]] = {}
+    for k, m in enumerate(tokens):
+        if (tag := (m["tag"] or "").lower()) in HIDDEN:
+            own = waiting.setdefault(tag, [])
+            if not m["end"]:
+                own.append(k)
+            elif own:
+                own.pop()
+    return {k for own in waiting.values() for k in own}
+
+
+def lines_of(page: str, by_names: bool, shown: frozenset[str] = frozenset()) -> tuple[list[list], bool, str]:
+    """Lines as [text, characters in links, inside an article], whether an article holds text, and the boilerplate tag that
+    hides most text. Elements whose tag is in shown aren't boilerplate. A hidden element without end tag ends with its
+    parent, a head at the first content of the body; with "" in shown it holds nothing."""
     lines: list[list] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # (tag, boilerplate, article)
-    skipped = articles = 0
+    skipped = articles = hidden = 0
     links = in_link = 0
+    lost: dict[str, int] = {}
+    tokens = list(TOKEN.finditer(page))
+    open_ended = unclosed(tokens)
 
     def flush() -> None:
         nonlocal links
@@ -85,9 +106,10 @@ def lines_of(page: str, by_names: bool) -> tuple[list[list], bool]:
         links = 0
 
     def pop(to: int) -> None:
-        nonlocal skipped, articles
+        nonlocal skipped, articles, hidden
         while len(stack) > to:
-            _, bad, art = stack.pop()
+            tag, bad, art = stack.pop()
+            hidden -= tag in HIDDEN or not tag
             skipped -= bad
             articles -= art
 
@@ -101,6 +123,11 @@ def lines_of(page: str, by_names: bool) -> tuple[list[list], bool]:
 
     def add(raw: str) -> None:
         nonlocal links
+        if stack and stack[-1][0] == "head" and raw.strip():
+            pop(len(stack) - 1)
+        if raw and skipped and not hidden:
+            outer = next(t for t, bad, _ in stack if bad)
+            lost[outer] = lost.get(outer, 0) + len(raw.strip())
         if raw and not skipped:
             plain = html.unescape(raw)
             text.append(plain)
@@ -108,24 +135,45 @@ def lines_of(page: str, by_names: bool) -> tuple[list[list], bool]:
                 links += len(plain.strip())
 
     at = 0
-    for m in TOKEN.finditer(page):
+    for k, m in enumerate(tokens):
         add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if not m["end"] and hidden and tag not in IN_HEAD:
+            head = next((i for i, (t, _, _) in enumerate(stack) if t == "head"), None)
+            if head is not None and not any(t for t, _, _ in stack[head + 1 :]):
+                pop(head)
+        if tag in HIDDEN:
+            if m["end"]:
+                close({tag}, set())
+            elif not (k in open_ended and "" in shown or tag in ("svg", "math") and m["attrs"].endswith("/")):
+                # without end tag it has no name, so that nothing stops there
+                stack.append((tag if tag == "head" or k not in open_ended else "", True, False))
+                skipped += 1
+                hidden += 1
+            continue
+        sealed = any(t and t in HIDDEN for t, _, _ in stack) if hidden else False
+        if sealed and (tag not in BLOCK or not m["end"]):
+            if tag in BLOCK and tag not in VOID:
+                stack.append((tag, False, False))
+            continue
         if tag == "br":
             text.append(" ")
         elif tag == "a":
             in_link = not m["end"]
         if tag not in BLOCK:
             continue
-        flush()
+        if not sealed:
+            flush()
         if m["end"]:
             if tag == "p":
-                close({"p"}, BLOCK - {"p"})
+                close({"p"}, BLOCK | HIDDEN - {"p"})
             else:
                 close({tag}, ENDS.get(tag, {"article", "main"} if tag not in ("article", "main", "body", "html") else set()))
+            if sealed and not hidden:
+                flush()
             in_link = 0
             continue
         if tag in CLOSES_P:
@@ -135,13 +183,13 @@ def lines_of(page: str, by_names: bool) -> tuple[list[list], bool]:
         if tag in VOID:
             continue
         article = tag in ("article", "main") or "articleBody" in m["attrs"]
-        bad = is_boilerplate(tag, m["attrs"] if by_names else "", articles > 0)
+        bad = tag not in shown and is_boilerplate(tag, m["attrs"] if by_names else "", articles > 0)
         stack.append((tag, bad, article and not bad))
         skipped += bad
         articles += article and not bad
     add(page[at:])
     flush()
-    return lines, any(t and inside for t, _, inside in lines)
+    return lines, any(t and inside for t, _, inside in lines), max(lost, key=lost.get, default="")
 
 
 def keep(weights: list[int], window: int, surge: int) -> list[bool]:
@@ -176,9 +224,15 @@ def extract(page: str | None) -> str:
     """The main text: kept blocks joined by newlines; empty if there are none."""
     if not page:
         return ""
-    lines, marked = lines_of(page, True)
-    if not any(t for t, _, _ in lines):
-        lines, marked = lines_of(page, False)
+    shown: frozenset[str] = frozenset()
+    while True:
+        lines, marked, _ = lines_of(page, True, shown)
+        if any(t for t, _, _ in lines):
+            break
+        lines, marked, most = lines_of(page, False, shown)
+        if any(t for t, _, _ in lines) or "" in shown and (not most or most in shown):
+            break
+        shown |= {most if "" in shown else ""}  # what holds all the text is no boilerplate
     lines = [line for line in lines if line[0]]
     if marked:
         weights, surge = [len(t) if inside else 0 for t, _, inside in lines], 1

@@ -253,6 +253,23 @@ def test_op5_runs_of_short_blocks():
     assert html_text.extract(f"<body><p>one</p>{links}<p>two</p>{links}") == "one\ntwo"
 
 
+def test_op5_unclosed_head_and_wrappers():
+    art = "<article><p>First text.<p>Second text.</article>"
+    for page in (
+        "<html><head><title>T</title><meta charset=x><body>{}",
+        "<head><link href=a>{}",
+        "<head><title>T<body>{}",
+        "<body><form><nav><a>n</a></nav>{}</form>",
+        "<body><fieldset><dialog>{}</dialog></fieldset>",
+        "<div><noscript>n</div>{}",
+        "<body><video src=x>{}",
+        "<head><noscript><link></noscript><style>x</style></head><body>{}<noscript>q</noscript>",
+    ):
+        assert html_text.extract(page.format(art)) == "First text.\nSecond text."
+    assert html_text.extract("<p>a <object><p>hidden</p></object> b</p>") == "a b"
+    assert html_text.extract("<div><p>a<video src=x></div><p>b") == "a\nb"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/apdiv \"'=!-&;x\n", max_size=80))
 def test_op5_survives_anything(page):
