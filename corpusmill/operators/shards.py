@@ -108,6 +108,53 @@ def pack(samples: DataFrame, name: str, seq_len: int, chunk: int = 20_000) -> Da
     return cut.select("lane", F.col("_slice").alias("chunk"), "sample_id", "doc_id", "n_tokens").groupBy("lane", "chunk").applyInPandas(one, PACKED)
 
 
+def first_bins(counts: dict[int, int], room: int, bins: int, max_open: int) -> list[tuple[int, int, int, int, int]]:
+    """(cost, place among the items of that cost, bin, bin_offset, segment) of what best-fit-decreasing puts into the first
+    bins, from how many items have each cost. Open bins only depend on costs; where they repeat within a cost, whole periods
+    are skipped, and it ends once no first bin can take more."""
+    out, open_, opened = [], [], 0  # an open bin: [used, number, items]
+    least = min(counts, default=0)
+    for c in sorted(counts, reverse=True):
+        left, seen = counts[c], {}
+        while left:
+            if opened >= bins and not any(b[1] < bins and b[0] + least <= room for b in open_):
+                return out
+            key = tuple((b[0], min(b[1], bins), b[2] if b[1] < bins else 0) for b in open_)
+            if opened > bins and key in seen:
+                left %= seen[key] - left
+                seen = {}
+                if not left:
+                    break
+            seen[key] = left
+            fits = [b for b in open_ if b[0] + c <= room]
+            if fits:
+                b = max(fits, key=lambda x: (x[0], -x[1]))
+            else:
+                if len(open_) >= max_open:
+                    open_.remove(max(open_, key=lambda x: (x[0], -x[1])))
+                b = [0, opened, 0]
+                opened += 1
+                open_.append(b)
+            if b[1] < bins:
+                out.append((c, counts[c] - left, b[1], b[0], b[2]))
+            b[0] += c
+            b[2] += 1
+            left -= 1
+    return out
+
+
+def pack_first(samples: DataFrame, seq_len: int, bins: int, max_open: int = 8) -> DataFrame:
+    """The first bins of best-fit-decreasing over all samples as one lane: the driver gets how many there are of each cost,
+    and the samples that the bins hold are the first of their costs by sample_id."""
+    counts = {r.n_tokens + 1: r["count"] for r in samples.groupBy("n_tokens").count().collect()}
+    placed = first_bins(counts, seq_len, bins, max_open)
+    most = max((p[1] for p in placed), default=0) + 1
+    rank = F.row_number().over(W.partitionBy("n_tokens").orderBy("sample_id"))
+    own = samples.where(F.col("n_tokens").isin(sorted({p[0] - 1 for p in placed}))).withColumn("_rank", rank).where(F.col("_rank") <= most)
+    at = samples.sparkSession.createDataFrame([(c - 1, k + 1, *x) for c, k, *x in placed], "n_tokens bigint, _rank int, bin bigint, bin_offset bigint, segment bigint")
+    return own.join(F.broadcast(at), ["n_tokens", "_rank"]).select("lane", F.lit(0).cast("long").alias("chunk"), "sample_id", "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "bin", "bin_offset", "segment")
+
+
 def pad_only(samples: DataFrame) -> DataFrame:
     """One sample a bin."""
     bin_ = F.row_number().over(W.partitionBy("lane").orderBy("sample_id")) - 1

@@ -257,7 +257,7 @@ def batch_plan_invariants(spark, sf_dir):
 def validation_batch(spark, sf_dir):
     """A fixed batch, the first eight bins of held-out samples by best fit decreasing."""
     held = lane_samples(spark, sf_dir).where("doc_id % 10 = 0").withColumn("lane", F.lit("validation"))
-    return shards.pack(held, "best_fit_decreasing", SEQ).where("chunk = 0 AND bin < 8")
+    return shards.pack_first(held, SEQ, 8)
 
 
 @query(f"WITH {SPANS} SELECT sample_id, CAST(n_tokens + 1 AS BIGINT) AS cost, lang = 'en' AS is_en FROM spans WHERE n_tokens BETWEEN 64 AND 127")

@@ -145,6 +145,32 @@ def test_attention_of_every_bin(spark, sf_dir, monkeypatch):
     assert sharding.attention_invariants(spark, sf_dir).first() == (True, True, True) and seen == [3]
 
 
+def test_first_bins_are_those_of_all_samples():
+    rng = random.Random(8)
+    for n in (0, 1, 9, 40, 400):
+        for lo, hi in ((9, 128), (9, 64), (30, 33), (64, 65), (9, 10), (40, 90)):
+            costs = sorted((rng.randint(lo, hi) for _ in range(n)), reverse=True)
+            want, used, size = [], Counter(), Counter()
+            for k, (c, b) in enumerate(zip(costs, shards.fit(costs, 128, True, 8))):
+                if b < 8:
+                    want.append((c, k - costs.index(c), b, used[b], size[b]))
+                used[b] += c
+                size[b] += 1
+            assert shards.first_bins(dict(Counter(costs)), 128, 8, 8) == want
+    assert len(shards.first_bins({65: 1, 64: 10**12, 63: 5}, 128, 8, 8)) == 16
+
+
+def test_validation_batch_takes_from_all_samples(spark, tmp_path):
+    n = 20_500
+    d = spark.range(n).selectExpr("id * 10 AS doc_id", "'en' AS lang", "repeat('w ', int(8 + id % 120)) AS text")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.validation_batch(spark, str(tmp_path)).toPandas()
+    held = sharding.lane_samples(spark, str(tmp_path)).withColumn("lane", F.lit("validation"))
+    want = shards.pack(held, "best_fit_decreasing", sharding.SEQ, 10**9).where("bin < 8").toPandas()
+    key = lambda x: sorted(x[["sample_id", "doc_id", "n_tokens", "bin", "bin_offset", "segment"]].itertuples(index=False, name=None))
+    assert key(got) == key(want) and got.bin.nunique() == 8
+
+
 def test_planner_restores(spark):
     rows = [(f"s{k}", "ab"[k % 2], 20 + k % 100, f"h{k}", 0.0, [k, k + 1]) for k in range(200)]
     g = pd.DataFrame(rows, columns=["sample_id", "lane", "n_tokens", "token_hash", "symbol_ratio", "sketch"])
