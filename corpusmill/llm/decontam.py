@@ -10,6 +10,7 @@ one after the other, so it may be of any size.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -113,7 +114,7 @@ def spans_of(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(len(text[: at[s][0]].decode()), len(text[: at[e - 1][1]].decode())) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-_PHRASES: dict[int, Phrases] = {}
+_PHRASES: dict[str, Phrases] = {}
 
 
 def phrases(held, window: int) -> Phrases:
@@ -134,7 +135,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_byte
     spark = docs.sparkSession
     ready_workers(spark)
     item_type = benchmark.schema["item_id"].dataType.simpleString()
-    sent = [spark.sparkContext.broadcast((f"{id(benchmark)}-{k}-{window}", c)) for k, c in enumerate(chunks(benchmark, "item_id", "text", chunk_bytes))]
+    key = uuid.uuid4().hex  # workers are used again by later scans
+    sent = [spark.sparkContext.broadcast((f"{key}-{k}", c)) for k, c in enumerate(chunks(benchmark, "item_id", "text", chunk_bytes))]
     fields = [docs.schema[c] for c in dict.fromkeys(("doc_id", "text", *keep))]
     src = docs.select(*(f.name for f in fields))
 

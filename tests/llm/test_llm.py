@@ -172,6 +172,14 @@ def test_op2_spans_and_filter(spark):
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
 
 
+def test_op2_scans_dont_share_phrases(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "id", lambda _: 7, raising=False)  # as if the second benchmark got the first one's address
+    d = table(spark, [(1, "alpha beta gamma"), (2, "delta epsilon zeta")]).coalesce(1)
+    for item, text, found in ((1, "alpha beta gamma", {1: [1], 2: []}), (2, "delta epsilon zeta", {1: [], 2: [2]})):
+        b = spark.createDataFrame([(item, text)], "item_id bigint, text string")
+        assert {r.doc_id: r.item_ids for r in decontam.scan(d, b).collect()} == found
+
+
 def test_op3(spark):
     rng = random.Random(7)
     bad = lambda k: [prose(rng, 60).upper().replace(" ", "!! "), " | ".join(prose(rng, 60).split()), prose(rng, 60).replace(" ", "*** "), "same same " * 50][k % 4]
