@@ -52,18 +52,19 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp bigint, the 64 bits as a signed number) for every row; null texts have no words."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """Rows (doc_id, fp bigint, the 64 bits as a signed number[, text_hash]) for every row; null texts have no words."""
     ready_workers(df.sparkSession)
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    more = [F.xxhash64(text_col).alias("text_hash")] if text_hash else []
+    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 fps = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fps)})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": pa.array(fps)} | ({"text_hash": part.column("text_hash")} if text_hash else {}))
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint" + (", text_hash bigint" if text_hash else ""))
 
 
 def cells(fps: DataFrame) -> DataFrame:
@@ -124,13 +125,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp, component_id) for every row of df.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", told_apart: bool = False) -> DataFrame:
+    """Rows (doc_id, fp, component_id[, text_hash, root]) for every row of df; root, a fingerprint, is a component's own.
 
     component_id is the smallest doc_id that links reach. Texts without words have fingerprint 0 and link like others.
     Repeated rows share a component. Null ids are kept; a component of null ids only is null. An empty table gives none.
     """
-    held = materialize(fingerprints(df, id_col, text_col), "simhash-fp")
+    held = materialize(fingerprints(df, id_col, text_col, told_apart), "simhash-fp")
     nodes = held.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes now, but 50 cells for each to come
     tree = components(links(held.select("fp").repartition(parts, "fp").distinct()))
@@ -138,18 +139,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = tree.select(F.col("v").alias("fp")).distinct().withColumn("linked", F.lit(True))
     rooted = rooted.join(ends, "fp", "left")
     lows = rooted.where("root <> fp OR linked").groupBy("root").agg(F.min("low").alias("low"))
-    of_links = rooted.where("root <> fp OR linked").select("fp", "root").join(lows, "root").select("fp", F.col("low").alias("component_id"))
-    of_copies = rooted.where("root = fp AND linked IS NULL AND n > 1").select("fp", F.col("low").alias("component_id"))
+    of_links = rooted.where("root <> fp OR linked").select("fp", "root").join(lows, "root").select("fp", F.col("low").alias("component_id"), "root")
+    of_copies = rooted.where("root = fp AND linked IS NULL AND n > 1").select("fp", F.col("low").alias("component_id"), "root")
     known = of_links.union(of_copies).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     rows = held.withColumn("salt", F.expr(f"int(pmod(xxhash64(doc_id), {SALTS}))"))
-    return rows.join(known, ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(known, ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), *(["text_hash", F.coalesce("root", "fp").alias("root")] if told_apart else []))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents, one of each component: that with its smallest doc_id; of rows that repeat id and text, one."""
-    losers = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    kept = docs.join(losers, F.col("doc_id") == F.col("_loser"), "left_anti")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    """The documents, one of each component: a row with its smallest doc_id, of several such the one with the least hash of
+    its text. Rows of one id are told apart by their text; rows of null ids stay, of those that repeat a text one."""
+    marks = materialize(near_duplicates(docs, told_apart=True), "simhash-marks")
+    first = marks.where("doc_id = component_id").groupBy("root").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least < most").drop("most")
+    others = marks.where("doc_id = component_id").join(first, "root").where("text_hash > least")
+    losers = marks.where("doc_id <> component_id").unionByName(others.drop("least")).select(F.col("doc_id").alias("_loser"), F.col("text_hash").alias("_hash")).distinct()
+    kept = docs.withColumn("_text", F.xxhash64("text")).join(losers, (F.col("doc_id") == F.col("_loser")) & (F.col("_text") == F.col("_hash")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
 
 
 def hex16(fp) -> F.col:

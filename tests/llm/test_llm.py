@@ -375,6 +375,16 @@ def test_op7(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_op7_keep_first_with_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    assert len({brute_simhash(x) for x in (a, b, c, d)}) == 4
+    near = a + " "  # the same words, another text
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c + " "), (4, d), (4, d), (5, near), (None, None)]
+    got = simhash.keep_first(table(spark, rows)).select("doc_id", F.trim("text").alias("text")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a.strip()), (2, b.strip()), (3, c.strip()), (4, d.strip()), (None, None)], key=str)
+
+
 def test_op7_hash_is_sparks(spark):
     rows = spark.createDataFrame([("a b c",), ("été 日本 x",)], "t string").select("t", F.xxhash64("t").alias("h")).collect()
     assert all(int(simhash.hash_shingles(r.t.encode()).view(np.int64)[0]) == r.h for r in rows)
