@@ -8,13 +8,10 @@ chunk gets the ids it would get alone.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import heapq
 import re
-import sys
 from collections.abc import Iterator
-from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +21,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import ready_workers
-from .chunks import ChunkCache, check_file, read_file
+from .chunks import WORD_PATTERN, ChunkCache, Folding, check_file, read_file
 
 #: Ids decoded at a time, which bounds the memory for their strings.
 DECODE_IDS = 1_000_000
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 4_000_000
-#: The pattern of the word_bpe file, and its form for lower-case ASCII.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed value: the pattern of the word_bpe file for lower-case ASCII.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 
 
@@ -43,6 +39,7 @@ class PairIndexCodec:
     def __init__(self, path: str):
         spec = read_file(path)
         check_file(spec)
+        self.fold = Folding(spec)
         model = spec["model"]
         self.vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
         self.tok = Tokenizer.from_file(path)
@@ -73,10 +70,11 @@ class PairIndexCodec:
         normal = self.tok.normalizer.normalize_str(chunk) if self.tok.normalizer else chunk
         return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def __call__(self, chunks: list[str]) -> list[list[int]]:
+    def __call__(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, their numbers)."""
         index: dict[str, int] = {}
         plan: list[list[int]] = []
-        for chunk in chunks:
+        for chunk in chunks.to_pylist():
             if self.special_re and "<" in chunk and self.special_re.search(chunk):
                 parts = []
                 for part in self.special_re.split(chunk):
@@ -88,7 +86,9 @@ class PairIndexCodec:
             else:
                 plan.append([index.setdefault(p, len(index)) for p in self.pieces(chunk)])
         words = self.merge_all(list(index))
-        return [[i for k in parts for i in (words[k] if k >= 0 else (-1 - k,))] for parts in plan]
+        ids = [words[parts[0]] if len(parts) == 1 and parts[0] >= 0 else [i for k in parts for i in (words[k] if k >= 0 else (-1 - k,))] for parts in plan]
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum())), lens
 
     def merge_all(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words (each one pre-tokenizer piece)."""
@@ -163,28 +163,19 @@ class PairIndexCodec:
         return [out[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
 
-_CODECS: dict[tuple[str, str], object] = {}
+_CACHES: dict[tuple[str, str], ChunkCache] = {}
 
 
-@contextmanager
-def cache_for(kind: str, path: str, make) -> Iterator[ChunkCache]:
-    """A cache for one task. The codec stays in the worker for later tasks; chunks and freed memory don't."""
-    if (kind, path) not in _CODECS:
-        _CODECS[kind, path] = make(path)
-    cache = ChunkCache(_CODECS[kind, path])
-    try:
-        yield cache
-    finally:
-        cache.reset()
-        give_back()
+def cache_for(kind: str, path: str, make) -> ChunkCache:
+    """The cache of this worker, which later tasks use again; it is bounded."""
+    if (kind, path) not in _CACHES:
+        _CACHES[kind, path] = ChunkCache(make(path))
+    return _CACHES[kind, path]
 
 
 def give_back() -> None:
-    """Return freed memory to the system, as idle workers live on."""
-    gc.collect()
+    """Arrow keeps freed memory for later; idle workers need none."""
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
 
 
 def token_strings(path: str) -> pa.Array:
@@ -220,15 +211,16 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = token_strings(path) if decode else None
-        with cache_for("pairs", path, PairIndexCodec) as cache:
-            for batch in batches:
-                for part in by_bytes(batch, "text", SLICE_BYTES):
-                    ids, counts = cache.encode(part.column("text").to_pylist())
-                    ends = np.append(0, np.cumsum(counts)).astype(np.int32)
-                    cols = {"id": part.column("id"), "n_tokens": pa.array(counts), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
-                    if decode:
-                        cols["decoded"] = decode_lists(ids, counts, strings).combine_chunks()
-                    yield pa.RecordBatch.from_pydict(cols)
+        cache = cache_for("pairs", path, PairIndexCodec)
+        for batch in batches:
+            for part in by_bytes(batch, "text", SLICE_BYTES):
+                ids, counts = cache.encode(part.column("text"))
+                ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+                cols = {"id": part.column("id"), "n_tokens": pa.array(counts), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
+                if decode:
+                    cols["decoded"] = decode_lists(ids, counts, strings).combine_chunks()
+                yield pa.RecordBatch.from_pydict(cols)
+        give_back()
 
     kind = src.schema["id"].dataType.simpleString()
     return src.mapInArrow(run, f"id {kind}, n_tokens bigint, ids array<int>" + (", decoded string" if decode else "")).withColumnRenamed("id", id_col)

@@ -1,10 +1,17 @@
 """Adaptive context-mixing range coder for blocks of token ids, many blocks in step.
 
-A block is coded on its own: its model starts afresh, and its sorted distinct ids stand before the payload. For each
-token the model has three predictions: the id that last followed the same two ids (order 2), the id that last followed
-the same one (order 1), each with a confidence of 0 to 3, and the frequencies of the block so far (order 0), scaled anew
-at positions 256, 512, 1024 and so on. The weights of the three are learned for each pair of confidences. One
-subdivision of the range picks the predictor, and if it is order 0 a second one picks the id.
+A block is coded on its own: its model starts afresh, and its sorted distinct ids stand before the payload. The probability
+of the next id is a mixture of three predictions:
+
+- order 2: the id that last followed the same two ids, with a confidence of 0 to 3 (how often it was right in a row),
+- order 1: the same after the one id before,
+- order 0: the frequencies of the block's ids so far, taken anew at positions 256, 512, 1024 and so on.
+
+The weights of orders 2 and 1 are learned for each pair of confidences, and apart for predictions that agree; order 0 has
+the rest, so every id of the block can always be coded. The three are added up for every id, and one subdivision of the
+range codes it: with w the weights and F, C the order-0 frequencies and their sums before an id s,
+
+    width(s) = w0 F(s) + TOTAL (w2 [s = p2] + w1 [s = p1]),   start(s) = w0 C(s) + TOTAL (w2 [p2 < s] + w1 [p1 < s]).
 
 All blocks of a group advance together, a token of each at a time, as NumPy vectors; a block's bytes don't depend on the
 group.
@@ -15,19 +22,26 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 4096
-#: Order-0 frequencies of a block sum to this; a block has no more distinct ids.
+#: Order-0 frequencies of a block sum to TOTAL, which bounds its distinct ids; weights sum to TOTAL too.
 TOTAL_BITS = 12
 TOTAL = 1 << TOTAL_BITS
-MIX_BITS = 12
 ORDER2_BITS = 11
 FIRST_SCALE = 256
+#: A predictor's entry: the id, and the confidence above it.
+ID_MASK, CONFIDENCE = 0x3FFF, 14
+#: Both weights of a class stand in one number, each in 16 bits of which the upper 12 count; they move by 1/32 a token.
+RATE = 5
+HALVES = np.uint32(0x07FF07FF)
+FULL = 63 << 10 >> RATE
+#: What the weights gain when the order-1 prediction, the order-2 prediction, or both were right (they share it).
+GAIN = np.array([0, FULL, FULL << 16, (FULL // 2) << 16 | FULL // 2], np.uint32)
+FIRST_WEIGHTS = np.uint32(6400 << 16 | 6400)
 #: Steps between looks at the room left for words; a step makes two at most.
 CHECK_ROOM = 64
 #: Bytes of model state in a group.
-GROUP_BYTES = 150_000_000
+GROUP_BYTES = 160_000_000
 
-_LOW32, _TOP = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
-_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
+_LOW32, _TOP = np.int64(0xFFFFFFFF), np.int64(1 << 32)
 
 
 class Model:
@@ -38,16 +52,15 @@ class Model:
         n, w = self.lanes, self.width
         self.sizes = np.array(alphabets)
         lane = np.arange(n)
-        self.at0, self.at2, self.at_mix, self.at_slot = lane * w, lane << ORDER2_BITS, lane * 32, lane << TOTAL_BITS
+        self.at0, self.at2, self.at_mix, self.at_slot = lane * w, lane << ORDER2_BITS, (lane * 32).astype(np.int32), lane << TOTAL_BITS
         self.count = np.zeros(n * w, np.int32)
         self.order1 = np.zeros(n * w, np.uint16)
         self.order2 = np.zeros(n << ORDER2_BITS, np.uint16)
-        self.mix2 = np.full(n * 32, 400, np.int32)
-        self.mix1 = np.full(n * 32, 400, np.int32)
-        self.last = np.zeros(n, np.int64)
-        self.last2 = np.zeros(n, np.int64)
+        self.mix = np.full(n * 32, FIRST_WEIGHTS, np.uint32)
+        self.last = np.zeros(n, np.uint16)
+        self.last2 = np.zeros(n, np.uint16)
         self.decoding = decoding
-        self.scale()
+        self.scale(np.empty((0, n), np.uint16))
 
     def narrow(self, n: int) -> None:
         """Go on with the first n lanes."""
@@ -55,56 +68,89 @@ class Model:
         for name in ("at0", "at2", "at_mix", "at_slot", "last", "last2", "sizes"):
             setattr(self, name, getattr(self, name)[:n])
 
-    def scale(self) -> None:
-        """Frequencies from the counts: each id of the alphabet gets at least 1, the commonest takes what is left."""
+    def scale(self, new: np.ndarray) -> None:
+        """Frequencies from the counts, to which new ids (a row a step) are added first: each id of the alphabet gets at
+        least 1, the commonest takes what is left."""
         n, w = self.lanes, self.width
-        self.freq, self.cum = np.empty((n, w), np.uint32), np.empty((n, w), np.uint32)
+        self.table = np.empty((n, w), np.uint32)
         if self.decoding:
-            self.slots = np.zeros((n, TOTAL), np.uint16)
-        for k in range(0, n, 128):
-            part = slice(k, min(n, k + 128))
-            count, size = self.count[: n * w].reshape(n, w)[part].astype(np.int64), self.sizes[part, None]
-            seen = np.maximum(1, count.sum(axis=1, keepdims=True))
-            own = np.arange(w) < size
-            freq = np.where(own, 1 + count * (TOTAL - size) // seen, 0)
-            freq[np.arange(len(freq)), count.argmax(axis=1)] += TOTAL - freq.sum(axis=1)
-            cum = np.cumsum(freq, axis=1) - freq
-            self.freq[part], self.cum[part] = freq, cum
+            self.slots = np.empty(n << TOTAL_BITS, np.uint16)
+        for k in range(0, n, 256):
+            to = min(n, k + 256)
+            own = self.count[k * w : to * w]
+            if len(new):
+                own += np.bincount((new[:, k:to] + self.at0[: to - k]).ravel(), minlength=len(own)).astype(np.int32)
+            count, size = own.reshape(to - k, w), self.sizes[k:to, None]
+            share = ((TOTAL - size) / np.maximum(1, count.sum(axis=1, keepdims=True))).astype(np.float32)
+            freq = (count * share).astype(np.int32)
+            freq += np.arange(w) < size
+            freq[np.arange(to - k), count.argmax(axis=1)] += TOTAL - freq.sum(axis=1)
+            if (freq < 0).any():
+                raise ArithmeticError("frequencies exceed their total")
+            cum = np.cumsum(freq, axis=1, dtype=np.int32) - freq
+            self.table[k:to] = (cum << 16 | freq).view(np.uint32)
             if self.decoding:
-                row, col = np.nonzero(own)
-                slots = self.slots[part]
-                slots[row, cum[row, col]] = col
-                np.maximum.accumulate(slots, axis=1, out=slots)
-        self.freq, self.cum = self.freq.ravel(), self.cum.ravel()
-        if self.decoding:
-            self.slots = self.slots.ravel()
+                self.slots[k << TOTAL_BITS : to << TOTAL_BITS] = np.repeat(np.tile(np.arange(w, dtype=np.uint16), to - k), freq.ravel())
+        self.table = self.table.ravel()
 
     def predict(self) -> None:
-        """Predictions and the widths of order 2 and order 1 in the next subdivision."""
-        self.k2 = self.at2 + ((self.last * 2503 + self.last2 * 40503 >> 3) & ((1 << ORDER2_BITS) - 1))
+        """Both predictions and the weights."""
+        self.k2 = self.at2 + ((self.last * np.uint16(2503) + self.last2 * np.uint16(40503)) >> (16 - ORDER2_BITS))
         self.k1 = self.at0 + self.last
         self.e2, self.e1 = self.order2.take(self.k2), self.order1.take(self.k1)
-        self.p2, self.p1 = self.e2 & 0x3FFF, self.e1 & 0x3FFF
-        self.km = self.at_mix + ((self.e2 >> 14 << 2) + (self.e1 >> 14) + ((self.p1 == self.p2).astype(np.uint16) << 4))
-        self.m2, self.m1 = self.mix2.take(self.km), self.mix1.take(self.km)
-
-    def learn(self, sym: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """sym: int64; hit2, hit1: which predictor coded it."""
-        self.mix2[self.km] = self.m2 + (np.where(hit2, 4032, 16) - self.m2 >> 5)
-        self.mix1[self.km] = self.m1 + (np.where(hit1, 4032, 16) - self.m1 >> 5)
-        s = sym.astype(np.uint16)
-        for table, key, e, p in ((self.order2, self.k2, self.e2, self.p2), (self.order1, self.k1, self.e1, self.p1)):
-            conf = e >> 14
-            right = p == s
-            table[key] = np.where(right, p | (np.minimum(conf + 1, 3) << 14), np.where(conf > 0, p | (conf - 1 << 14), s)).astype(np.uint16)
-        self.count[self.at0 + sym] += 1
+        self.p2, self.p1 = self.e2 & ID_MASK, self.e1 & ID_MASK
+        self.agree = self.p1 == self.p2
+        self.km = self.at_mix + ((self.e2 >> CONFIDENCE << 2) + (self.e1 >> CONFIDENCE) + (self.agree.astype(np.uint16) << 4))
+        self.m = self.mix.take(self.km)
+        self.w2, self.w1 = (self.m >> 20).view(np.int32), (self.m >> 4 & 0xFFF).view(np.int32)
+        self.w0 = TOTAL - self.w2 - self.w1
+        self.w2 <<= TOTAL_BITS
+        self.w1 <<= TOTAL_BITS
+
+    def place(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) of ids in the mixture."""
+        cf = self.table.take(self.at0 + sym)
+        self.hit2, self.hit1 = self.p2 == sym, self.p1 == sym
+        start = self.w0 * (cf >> 16).view(np.int32) + self.w2 * (self.p2 < sym) + self.w1 * (self.p1 < sym)
+        width = self.w0 * (cf & 0xFFFF).view(np.int32) + self.w2 * self.hit2 + self.w1 * self.hit1
+        return start, width
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose interval of the mixture holds the values."""
+        edges = []
+        for p, w, other, w_other in ((self.p2, self.w2, self.p1, self.w1), (self.p1, self.w1, self.p2, self.w2)):
+            cf = self.table.take(self.at0 + p)
+            low = self.w0 * (cf >> 16).view(np.int32) + w_other * (other < p)
+            edges.append((low, low + self.w0 * (cf & 0xFFFF).view(np.int32) + w + w_other * self.agree))
+        (low2, high2), (low1, high1) = edges
+        past2, past1 = value >= high2, value >= high1
+        rest = (value - self.w2 * past2 - self.w1 * past1) / self.w0.astype(np.float64)
+        out = self.slots.take(self.at_slot + np.minimum(rest.astype(np.int32), TOTAL - 1))
+        np.copyto(out, self.p1, where=(value >= low1) & ~past1)
+        np.copyto(out, self.p2, where=(value >= low2) & ~past2)
+        return out
+
+    def learn(self, sym: np.ndarray) -> None:
+        """After place(sym)."""
+        right = (self.hit2.view(np.uint8) << 1) | self.hit1.view(np.uint8)
+        self.mix[self.km] = self.m - (self.m >> RATE & HALVES) + GAIN.take(right)
+        for table, key, e, hit in ((self.order2, self.k2, self.e2, self.hit2), (self.order1, self.k1, self.e1, self.hit1)):
+            table[key] = sym | (np.minimum((e >> CONFIDENCE) + hit.view(np.uint8), 3) * hit << CONFIDENCE)
         self.last2, self.last = self.last, sym
 
 
 def alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct ids, each id's place among them)."""
-    letters, places = np.unique(ids, return_inverse=True)
-    return letters, places.astype(np.uint16)
+    most = int(ids.max())
+    if most >= 1 << 20:
+        letters, places = np.unique(ids, return_inverse=True)
+        return letters, places.astype(np.uint16)
+    there = np.zeros(most + 1, bool)
+    there[ids] = True
+    letters = np.flatnonzero(there)
+    place = np.empty(most + 1, np.uint16)
+    place[letters] = np.arange(len(letters))
+    return letters.astype(np.int32), place[ids]
 
 
 def groups(sizes: list[int], alphabets: list[int]) -> list[list[int]]:
@@ -114,7 +160,7 @@ def groups(sizes: list[int], alphabets: list[int]) -> list[list[int]]:
     widest = 0
     for k in order:
         widest = max(widest, alphabets[k])
-        if out and (len(out[-1]) + 1) * (widest * 40 + TOTAL * 4 + (2 << ORDER2_BITS)) <= GROUP_BYTES:
+        if out and (len(out[-1]) + 1) * (widest * 12 + TOTAL * 2 + (2 << ORDER2_BITS) + BLOCK * 5) <= GROUP_BYTES:
             out[-1].append(k)
         else:
             out.append([k])
@@ -128,11 +174,10 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, bytes]]:
     out: list = [None] * len(blocks)
     for group in groups([len(b) for b in blocks], [len(a) for a, _ in split]):
         lens = np.array([len(blocks[k]) for k in group])
-        steps = int(lens[0])
-        syms = np.zeros((steps, len(group)), np.uint16)
+        syms = np.zeros((len(group), int(lens[0])), np.uint16)
         for lane, k in enumerate(group):
-            syms[: lens[lane], lane] = split[k][1]
-        words, used = _encode_group(syms, lens, Model([len(split[k][0]) for k in group], False))
+            syms[lane, : lens[lane]] = split[k][1]
+        words, used = _encode_group(np.ascontiguousarray(syms.T), lens, Model([len(split[k][0]) for k in group], False))
         for lane, k in enumerate(group):
             out[k] = split[k][0], words[lane, : used[lane]].astype("<u2").tobytes()
     return out
@@ -144,16 +189,15 @@ def _encode_group(syms: np.ndarray, lens: np.ndarray, m: Model) -> tuple[np.ndar
     words = np.zeros((n, room), np.uint32)
     flat, row = words.ravel(), np.arange(n) * room
     pos = np.zeros(n, np.int64)
-    low, rng = np.zeros(n, np.uint64), np.full(n, 1 << 48, np.uint64)
-    ends = np.append(lens, 0)
-    scale_at = FIRST_SCALE
+    low, rng = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
+    scaled, scale_at = 0, FIRST_SCALE
 
     def flush(upto: int) -> None:
         """End lanes from upto on: three words settle the value."""
         lane = np.arange(upto, m.lanes)
         for k in (32, 16, 0):
-            word = low[lane] >> np.uint64(k)
-            flat[row[lane] + pos[lane]] = (word if k == 32 else word & np.uint64(0xFFFF)).astype(np.uint32)
+            word = low[lane] >> k
+            flat[row[lane] + pos[lane]] = word if k == 32 else word & 0xFFFF
             pos[lane] += 1
 
     for t in range(len(syms)):
@@ -162,39 +206,30 @@ def _encode_group(syms: np.ndarray, lens: np.ndarray, m: Model) -> tuple[np.ndar
             flush(live)
             m.narrow(live)
         if t == scale_at:
-            m.scale()
-            scale_at *= 2
+            m.scale(syms[scaled:t, : m.lanes])
+            scaled, scale_at = t, 2 * t
         if t % CHECK_ROOM == 0 and pos.max() + 2 * CHECK_ROOM + 8 > room:
             words = np.pad(words, ((0, 0), (0, room // 2)))
             room += room // 2
             flat, row = words.ravel(), np.arange(n) * room
         k = m.lanes
+        sym = syms[t, :k]
         m.predict()
-        sym = syms[t, :k].astype(np.int64)
-        s16 = syms[t, :k]
-        hit2 = m.p2 == s16
-        hit1 = (m.p1 == s16) & ~hit2
+        start, width = m.place(sym)
+        m.learn(sym)
         lo, ra = low[:k], rng[:k]
-        r = ra >> np.uint64(MIX_BITS)
-        both = m.m2 + m.m1
-        start = np.where(hit2, 0, np.where(hit1, m.m2, both)).astype(np.uint64)
-        width = np.where(hit2, m.m2, np.where(hit1, m.m1, (1 << MIX_BITS) - both)).astype(np.uint64)
+        r = ra >> 2 * TOTAL_BITS
         lo += r * start
-        r *= width
-        zero = ~(hit2 | hit1)
-        at = m.at0 + sym
-        r2 = r >> np.uint64(TOTAL_BITS)
-        lo += np.where(zero, r2 * m.cum.take(at), np.uint64(0))
-        ra[:] = np.where(zero, r2 * m.freq.take(at), r)
-        m.learn(sym, hit2, hit1)
-        for _ in range(2):
-            i = np.flatnonzero(ra < _TOP)
-            if not len(i):
-                break
-            flat[row[i] + pos[i]] = (lo[i] >> _32).astype(np.uint32)
-            lo[i] = (lo[i] & _LOW32) << _16
-            ra[i] <<= _16
+        np.multiply(r, width, out=ra)
+        i = np.flatnonzero(ra < _TOP)
+        while len(i):
+            value, at = lo[i], row[i] + pos[i]
+            flat[at] = value >> 32
+            lo[i] = (value & _LOW32) << 16
+            shifted = ra[i] << 16
+            ra[i] = shifted
             pos[i] += 1
+            i = i[shifted < _TOP]
     flush(0)
     for col in range(room - 1, 0, -1):  # a word of over 16 bits carries into the one before
         words[:, col - 1] += words[:, col] >> 16
@@ -208,52 +243,43 @@ def decode(blocks: list[tuple[int, np.ndarray, bytes]]) -> list[np.ndarray]:
     for group in groups([b[0] for b in blocks], [len(b[1]) for b in blocks]):
         lens = np.array([blocks[k][0] for k in group])
         m = Model([len(blocks[k][1]) for k in group], True)
-        syms = _decode_group([blocks[k][2] for k in group], lens, m)
+        syms = np.ascontiguousarray(_decode_group([blocks[k][2] for k in group], lens, m).T)
         for lane, k in enumerate(group):
-            out[k] = blocks[k][1][syms[: lens[lane], lane]]
+            out[k] = blocks[k][1][syms[lane, : lens[lane]]]
     return out
 
 
 def _decode_group(payloads: list[bytes], lens: np.ndarray, m: Model) -> np.ndarray:
     n = m.lanes
     sizes = np.array([len(p) // 2 for p in payloads])
-    words = np.frombuffer(b"".join(payloads) + b"\0" * 16, "<u2").astype(np.uint64)
+    words = np.frombuffer(b"".join(payloads) + b"\0" * 16, "<u2")
     pos = np.append(0, np.cumsum(sizes))[:-1] + 3
-    code = (words[pos - 3] << _32) | (words[pos - 2] << _16) | words[pos - 1]
-    rng = np.full(n, 1 << 48, np.uint64)
+    code = (words[pos - 3].astype(np.int64) << 32) | (words[pos - 2].astype(np.int64) << 16) | words[pos - 1]
+    rng = np.full(n, 1 << 48, np.int64)
     syms = np.zeros((int(lens[0]), n), np.uint16)
-    scale_at = FIRST_SCALE
+    scaled, scale_at = 0, FIRST_SCALE
     for t in range(len(syms)):
         if lens[m.lanes - 1] <= t:
             m.narrow(int(np.searchsorted(-lens, -t, side="left")))
         if t == scale_at:
-            m.scale()
-            scale_at *= 2
+            m.scale(syms[scaled:t, : m.lanes])
+            scaled, scale_at = t, 2 * t
         k = m.lanes
         m.predict()
-        co, ra, po = code[:k], rng[:k], pos[:k]
-        r = ra >> np.uint64(MIX_BITS)
-        edge2 = r * m.m2.astype(np.uint64)
-        wide1 = r * m.m1.astype(np.uint64)
-        edge1 = edge2 + wide1
-        hit2, zero = co < edge2, co >= edge1
-        hit1 = ~(hit2 | zero)
-        rest = r * ((1 << MIX_BITS) - m.m2 - m.m1).astype(np.uint64)
-        left = np.where(zero, co - edge1, np.uint64(0))
-        r2 = rest >> np.uint64(TOTAL_BITS)
-        slot = np.minimum((left.astype(np.float64) / r2.astype(np.float64)).astype(np.int64), TOTAL - 1)
-        sym0 = m.slots.take(m.at_slot + slot)
-        at = m.at0 + sym0
-        s16 = np.where(hit2, m.p2, np.where(hit1, m.p1, sym0))
-        co[:] = np.where(zero, left - r2 * m.cum.take(at), np.where(hit1, co - edge2, co))
-        ra[:] = np.where(zero, r2 * m.freq.take(at), np.where(hit1, wide1, edge2))
-        syms[t, :k] = s16
-        m.learn(s16.astype(np.int64), hit2, hit1)
-        for _ in range(2):
-            i = np.flatnonzero(ra < _TOP)
-            if not len(i):
-                break
-            co[i] = (co[i] << _16) | words[po[i]]
-            ra[i] <<= _16
-            po[i] += 1
+        co, ra = code[:k], rng[:k]
+        r = ra >> 2 * TOTAL_BITS
+        sym = m.find((co / r).astype(np.int32))  # exact, as the code has under 49 bits and the value under 25
+        start, width = m.place(sym)
+        m.learn(sym)
+        co -= r * start
+        np.multiply(r, width, out=ra)
+        syms[t, :k] = sym
+        i = np.flatnonzero(ra < _TOP)
+        while len(i):
+            at = pos[i]
+            co[i] = (co[i] << 16) | words[at]
+            shifted = ra[i] << 16
+            ra[i] = shifted
+            pos[i] = at + 1
+            i = i[shifted < _TOP]
     return syms

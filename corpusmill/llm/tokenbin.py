@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 
 from ..session import materialize, ready_workers, scratch
 from . import rangecoder
-from .bpe import by_bytes, cache_for
+from .bpe import by_bytes, cache_for, give_back
 from .chunks import LibraryCodec
 
 SYNC = "\x00CMSYNC\n"
@@ -30,9 +30,11 @@ MAGIC = b"CMB1"
 #: magic; ids, documents beginning, bytes of their table, distinct ids, bytes of them, bytes of payload; CRC-32 of the
 #: ids as little-endian unsigned 32-bit integers; CRC-32 of the header so far and of what follows it.
 HEAD = struct.Struct("<4s6I2I")
-#: Blocks coded in one go, and input bytes for each file.
-GO_BLOCKS = 1200
+#: Blocks written and read in one go (writing holds tokens and texts too), and input bytes for each file.
+GO_BLOCKS, READ_BLOCKS = 1800, 2600
 FILE_BYTES = 16_000_000
+#: Bytes of text tokenized at a time.
+SLICE_BYTES = 8_000_000
 
 
 def pack(ids: np.ndarray, begins: list[tuple[int | None, int]], alphabet: np.ndarray, payload: bytes) -> bytes:
@@ -90,9 +92,10 @@ def block_stream(rows: Iterator[tuple[list, np.ndarray, np.ndarray]], size: int
         if have >= size * go:
             ids = np.concatenate(held)
             cut = have // size * size
+            held, have = [ids[cut:].copy()], have - cut
             yield code(ids[:cut], [b for b in begins if b[0] < cut])
+            del ids
             begins = [(a - cut, d) for a, d in begins if a >= cut]
-            held, have = [ids[cut:]], have - cut
     if have:
         yield code(np.concatenate(held), begins)
 
@@ -116,22 +119,23 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, file_bytes:
     src = src.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(cache):
+        def rows():
+            cache = cache_for("library", tokenizer, LibraryCodec)
             for batch in batches:
-                for part in by_bytes(batch, "text", 4_000_000):
-                    ids, counts = cache.encode(part.column("text").to_pylist())
+                for part in by_bytes(batch, "text", SLICE_BYTES):
+                    ids, counts = cache.encode(part.column("text"))
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     yield part.column("doc_id").to_pylist(), ids, counts + 1
 
-        with cache_for("library", tokenizer, LibraryCodec) as cache:
-            for blocks in block_stream(rows(cache)):
-                for k in range(0, len(blocks), 256):
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(blocks[k : k + 256], pa.binary())})
+        for blocks in block_stream(rows()):
+            for k in range(0, len(blocks), 256):
+                yield pa.RecordBatch.from_pydict({"value": pa.array(blocks[k : k + 256], pa.binary())})
+        give_back()
 
     src.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SYNC).text(path)
 
 
-def documents_of(data: memoryview, go: int = GO_BLOCKS) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+def documents_of(data: memoryview, go: int = READ_BLOCKS) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """(doc_id, ids) of a file's documents in order, checking every block; some thousand blocks at a time."""
     at = 0
     doc, want, got, have = None, -1, [], 0
