@@ -1,10 +1,13 @@
 """Main text of HTML pages by their line-block distribution (operator 5).
 
-Markup is stripped first: comments, raw-text elements and elements that are boilerplate by tag, role, class or id. Every
-border of a block element then begins a new line. Text lengths (without links where a line is mostly links) are summed over
-sliding windows of the lines that hold text. A dive is where the sum falls to zero; a run of lines between two dives surges
-if its text reaches the threshold, however short its lines are, and is kept. In a page that marks its article, lines outside
-weigh nothing and all text in it is kept.
+Markup is stripped first, with comments, scripts and raw-text elements. Every border of a block element begins a new line.
+All lines that hold text go into the distribution, those of menus, adverts and footers too. A line weighs its length, or
+nothing where it is mostly links. Markup only shifts weights: a line in an element that is boilerplate by tag, role, class
+or id, or outside the article of a page that marks one, weighs a millionth; a line in a marked article weighs SURGE more.
+
+Weights are summed over sliding windows, for the lines of each of these three places. A dive is where the sum falls to zero; a
+run of lines between two dives surges if its weights reach the threshold, however short its lines are, and is kept. The
+threshold is SURGE, or the page's strongest run if that is less, so a page of one short line keeps it.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 from ..session import ready_workers
 from .bpe import by_bytes
 
-#: Lines in a window, and characters of a run that make a surge in a page without a marked article.
+#: Lines in a window, and weight of a run that makes a surge.
 WINDOW, SURGE = 4, 80
-LINK_SHARE = 0.6
+#: The share of links from which a line weighs nothing, and what lines of unlikely places are multiplied by.
+LINK_SHARE, UNLIKELY = 0.6, 1e-6
 
 # Element names of HTML, and words that name boilerplate in roles, classes and ids.
 CODE = "script style".split()
@@ -87,23 +91,24 @@ def unclosed(tokens: list[re.Match]) -> set[int]:
 
 
 def lines_of(page: str, by_names: bool, shown: frozenset[str] = frozenset()) -> tuple[list[list], bool, str]:
-    """Lines as [text, characters in links, inside an article], whether an article holds text, and the boilerplate tag that
-    hides most text. Elements whose tag is in shown aren't boilerplate. A hidden element without end tag ends with its
+    """Lines as [text, characters in links, inside an article, in boilerplate], whether an article holds text, and the
+    boilerplate tag that holds most text. Elements whose tag is in shown aren't boilerplate. A hidden element without end tag ends with its
     parent, a head at the first content of the body; with "" in shown it holds nothing."""
     lines: list[list] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # (tag, boilerplate, article)
     skipped = articles = hidden = 0
     links = in_link = 0
+    named = False
     lost: dict[str, int] = {}
     tokens = list(TOKEN.finditer(page))
     open_ended = unclosed(tokens)
 
     def flush() -> None:
-        nonlocal links
-        lines.append([SPACE.sub(" ", "".join(text)).strip(), links, articles > 0])
+        nonlocal links, named
+        lines.append([SPACE.sub(" ", "".join(text)).strip(), links, articles > 0, named])
         text.clear()
-        links = 0
+        links, named = 0, False
 
     def pop(to: int) -> None:
         nonlocal skipped, articles, hidden
@@ -122,15 +127,16 @@ def lines_of(page: str, by_names: bool, shown: frozenset[str] = frozenset()) ->
                 return None
 
     def add(raw: str) -> None:
-        nonlocal links
+        nonlocal links, named
         if stack and stack[-1][0] == "head" and raw.strip():
             pop(len(stack) - 1)
         if raw and skipped and not hidden:
             outer = next(t for t, bad, _ in stack if bad)
             lost[outer] = lost.get(outer, 0) + len(raw.strip())
-        if raw and not skipped:
+        if raw and not hidden:
             plain = html.unescape(raw)
             text.append(plain)
+            named |= skipped > 0
             if in_link:
                 links += len(plain.strip())
 
@@ -189,34 +195,52 @@ def lines_of(page: str, by_names: bool, shown: frozenset[str] = frozenset()) ->
         articles += article and not bad
     add(page[at:])
     flush()
-    return lines, any(t and inside for t, _, inside in lines), max(lost, key=lost.get, default="")
+    return lines, any(t and inside and not bad for t, _, inside, bad in lines), max(lost, key=lost.get, default="")
 
 
-def keep(weights: list[int], window: int, surge: int) -> list[bool]:
-    """Which lines lie in a run between two dives whose text reaches the surge; if none does, all runs are kept."""
+def runs(weights: list[float], window: int) -> list[tuple[int, int]]:
+    """The runs [begin, end) of lines between two dives; lines without weight at their ends are cut off."""
     n = len(weights)
-    total, sums = sum(weights[:window]), []
+    held = [w > 0 for w in weights]
+    total, sums = sum(held[:window]), []  # a window's sum is zero where none of its lines has weight
     for k in range(n):
         sums.append(total)
-        total += (weights[k + window] if k + window < n else 0) - weights[k]
-    runs, k = [], 0
+        total += (held[k + window] if k + window < n else 0) - held[k]
+    out, k = [], 0
     while k < n:
         if not sums[k]:
             k += 1
             continue
         begin = k
-        while not weights[begin]:
+        while not held[begin]:
             begin += 1
         while k < n and sums[k]:
             k += 1
         end = k
-        while not weights[end - 1]:
+        while not held[end - 1]:
             end -= 1
-        runs.append((begin, end))
-    strong = [r for r in runs if sum(weights[slice(*r)]) >= surge] or runs
-    out = [False] * n
-    for begin, end in strong:
-        out[begin:end] = [True] * (end - begin)
+        out.append((begin, end))
+    return out
+
+
+def keep(lines: list[list], marked: bool, window: int = WINDOW, surge: float = SURGE) -> list[bool]:
+    """Which lines lie in a run that surges. Each of the three places has its own distribution, the threshold is one for all."""
+    places: dict[tuple, list[int]] = {}
+    weights = []
+    for k, (t, links, inside, bad) in enumerate(lines):
+        own = 0.0 if links > LINK_SHARE * len(t) else float(len(t))
+        weights.append(own * UNLIKELY if bad or marked and not inside else own + surge if inside else own)
+        places.setdefault((bad, inside and not bad), []).append(k)
+    found = []
+    for at in places.values():
+        for begin, end in runs([weights[k] for k in at], window):
+            found.append((sum(weights[k] for k in at[begin:end]), at[begin:end]))
+    threshold = min(surge, max((s for s, _ in found), default=0))
+    out = [False] * len(lines)
+    for total, at in found:
+        if total >= threshold:
+            for k in at:
+                out[k] = True
     return out
 
 
@@ -227,19 +251,14 @@ def extract(page: str | None) -> str:
     shown: frozenset[str] = frozenset()
     while True:
         lines, marked, _ = lines_of(page, True, shown)
-        if any(t for t, _, _ in lines):
+        if any(t and not bad for t, _, _, bad in lines):
             break
         lines, marked, most = lines_of(page, False, shown)
-        if any(t for t, _, _ in lines) or "" in shown and (not most or most in shown):
+        if any(t and not bad for t, _, _, bad in lines) or "" in shown and (not most or most in shown):
             break
         shown |= {most if "" in shown else ""}  # what holds all the text is no boilerplate
     lines = [line for line in lines if line[0]]
-    if marked:
-        weights, surge = [len(t) if inside else 0 for t, _, inside in lines], 1
-    else:
-        weights, surge = [0 if links > LINK_SHARE * len(t) else len(t) for t, links, _ in lines], SURGE
-    kept = keep(weights, WINDOW, surge)
-    return "\n".join(t for (t, _, inside), w, k in zip(lines, weights, kept) if t and k and (w or not marked))
+    return "\n".join(line[0] for line, k in zip(lines, keep(lines, marked)) if k)
 
 
 def main_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
