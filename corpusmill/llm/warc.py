@@ -1,8 +1,9 @@
 """WARC archives, one Zstandard frame a record, with the dictionary in a leading skippable frame (operator 6).
 
 Each file begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself compressed or not; then
-comes a frame for each record. Spark's text sink writes them; its line separator is an empty skippable frame, which any
-reader of Zstandard skips, so files commit as any Spark output does.
+comes a frame for each record. Spark's text sink writes an archive as one row of its own file, so files commit as any Spark
+output does; the line separator after it is an empty skippable frame, which any reader of Zstandard skips. A new archive
+begins where one reaches ARCHIVE_BYTES, so neither writing nor reading holds more, but for one record.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ FRAME_MAGIC = 0xFD2FB528
 GAP = "P*M\x18\0\0\0\0"
 #: The bound of the sample that a file's dictionary is made from, and of the dictionary.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 400, 1_000_000, 32_768
+ARCHIVE_BYTES = 32_000_000
 SALTS = 16
 CRLF = b"\r\n"
 HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n:]+:[^\r\n]*\r\n)*)\r\n")
@@ -97,28 +99,49 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:]
 
 
-def frames(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The dictionary's skippable frame, then a frame for each record."""
-    held, size = [], 0
-    for r in records:
-        held.append(r)
-        size += len(r)
-        if len(held) >= SAMPLE_RECORDS or size >= SAMPLE_BYTES:
-            break
-    if not held:
-        return
-    raw = dictionary(held)
-    yield struct.pack("<II", DICT_MAGIC, len(raw)) + raw
-    coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True, write_checksum=True)
-    for r in held:
-        yield coder.compress(r)
-    del held
-    for r in records:
-        yield coder.compress(r)
+def archives(records: Iterator[bytes], limit: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """Archives of about so many bytes: the dictionary's skippable frame, then a frame for each record."""
+    while True:
+        held, size = [], 0
+        for r in records:
+            held.append(r)
+            size += len(r)
+            if len(held) >= SAMPLE_RECORDS or size >= SAMPLE_BYTES:
+                break
+        if not held:
+            return
+        raw = dictionary(held)
+        coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True, write_checksum=True)
+        out = [struct.pack("<II", DICT_MAGIC, len(raw)) + raw, *map(coder.compress, held)]
+        size = sum(map(len, out))
+        while size < limit and (r := next(records, None)) is not None:
+            out.append(coder.compress(r))
+            size += len(out[-1])
+        yield b"".join(out)
+
+
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the frame at this byte ends, from its header and the headers of its blocks."""
+    head = bytes(data[at : at + 18])
+    try:
+        end, checksum = at + zstandard.frame_header_size(head), zstandard.get_frame_parameters(head).has_checksum
+    except zstandard.ZstdError as e:
+        raise ValueError(f"no frame at byte {at}") from e
+    last = False
+    while not last:
+        if end + 3 > len(data):
+            raise ValueError("a frame is cut short")
+        block = int.from_bytes(data[end : end + 3], "little")
+        last, kind = bool(block & 1), block >> 1 & 3
+        end += 3 + (1 if kind == 1 else block >> 3)  # a block of one repeated byte holds just that
+    end += 4 * checksum
+    if end > len(data):
+        raise ValueError("a frame is cut short")
+    return end
 
 
 def read_archive(data: memoryview) -> Iterator[bytes]:
-    """The records of an archive, a frame at a time, wherever skippable frames stand between."""
+    """The records of an archive, a frame at a time, wherever skippable frames stand between; in time linear in its size."""
     at, decoder, first = 0, zstandard.ZstdDecompressor(), True
     while at < len(data):
         if len(data) - at < 8:
@@ -137,11 +160,12 @@ def read_archive(data: memoryview) -> Iterator[bytes]:
         if magic != FRAME_MAGIC:
             raise ValueError(f"no frame at byte {at}")
         first = False
+        end = frame_end(data, at)
         one = decoder.decompressobj()
-        out = one.decompress(data[at:])
-        if not one.eof:
-            raise ValueError("a frame is cut short")
-        at = len(data) - len(one.unused_data)
+        out = one.decompress(data[at:end])
+        if not one.eof or one.unused_data:
+            raise ValueError(f"the frame at byte {at} doesn't end where its blocks do")
+        at = end
         yield out
 
 
@@ -161,7 +185,7 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """A record for each row, an archive for each partition of the join that decides."""
+    """A record for each row; each partition of the join that decides writes archives of bounded size."""
     ready_workers(pages.sparkSession)
     src = decide(pages, min_bytes)
 
@@ -171,17 +195,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                 for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "revisit"))):
                     yield record(*r)
 
-        held, size = [], 0
-        for f in frames(records()):
-            held.append(f)
-            size += len(f)
-            if size > 8_000_000:
-                yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.binary())})
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.binary())})
-
-    src.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", GAP).text(path)
+        for whole in archives(records()):
+            yield pa.RecordBatch.from_pydict({"value": pa.array([whole], pa.binary())})
+
+    out = src.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.option("lineSep", GAP).option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
