@@ -3,8 +3,8 @@
 A shard is a run of documents of one partition. Its words become numbers of the benchmark's vocabulary; a word outside
 it can be in no window, so it ends a run, and runs shorter than the shortest window hold none: they stay out of the
 index. The index of the rest answers a backward search for all windows at once; occurrences are located by sampled
-suffix positions and mapped back, and their spans are merged. The benchmark is broadcast in chunks of a checked size,
-one after the other, so it may be of any size.
+suffix positions and mapped back, and their spans are merged. The benchmark is broadcast in chunks of a checked size, one at
+a time, so it may be of any size.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import ready_workers
+from ..session import materialize, ready_workers
+from .aside import set_aside
 from .bpe import by_bytes
 from .fmindex import FMIndex
 
@@ -110,8 +112,7 @@ def chunks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
 def spans_of(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     """Code-point spans [start, end) from each run of hit words' first to its last."""
     at = [m.span() for m in WORD.finditer(text)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return [(len(text[: at[s][0]].decode()), len(text[: at[e - 1][1]].decode())) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
+    return [(len(text[: at[s][0]].decode()), len(text[: at[e - 1][1]].decode())) for s, e in runs_of(hit).tolist()]
 
 
 _PHRASES: dict[str, Phrases] = {}
@@ -125,30 +126,45 @@ def phrases(held, window: int) -> Phrases:
     return _PHRASES[held.value[0]]
 
 
+def runs_of(hit: np.ndarray) -> np.ndarray:
+    """(start, end) of each run of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return edge.reshape(-1, 2)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, item_ids, spans[, kept columns]), one for each row of docs.
 
     A null or empty text has no words; an item without words has no windows; items that repeat one id count once. Spans
     are in code points, merged over adjacent and overlapping windows. Items of null id and columns not named are left
-    out. No shuffle.
+    out. No shuffle. A benchmark beyond one chunk takes a pass over docs for each chunk, whose hits are written to the shared
+    folder and go into the next pass, so one chunk is broadcast at a time.
     """
     spark = docs.sparkSession
     ready_workers(spark)
-    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    item_kind = benchmark.schema["item_id"].dataType
+    item_type, item_arrow = item_kind.simpleString(), to_arrow_type(item_kind)
     key = uuid.uuid4().hex  # workers are used again by later scans
-    sent = [spark.sparkContext.broadcast((f"{key}-{k}", c)) for k, c in enumerate(chunks(benchmark, "item_id", "text", chunk_bytes))]
     fields = [docs.schema[c] for c in dict.fromkeys(("doc_id", "text", *keep))]
-    src = docs.select(*(f.name for f in fields))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, "text", SHARD_BYTES):
-                raw = part.column("text").cast(pa.binary()).to_pylist()
-                texts = [words(t) for t in raw]
-                ends = np.append(0, np.cumsum([len(w) + 1 for w in texts]))
-                cover = np.zeros(ends[-1] + 1, np.int64)
-                items: dict[int, set] = {}
-                for held in sent:
+    hits_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    spans_type = "array<struct<start:bigint,end:bigint>>"
+
+    def search(held, first: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in by_bytes(batch, "text", SHARD_BYTES):
+                    raw = part.column("text").cast(pa.binary()).to_pylist()
+                    texts = [words(t) for t in raw]
+                    ends = np.append(0, np.cumsum([len(w) + 1 for w in texts]))
+                    cover = np.zeros(ends[-1] + 1, np.int64)
+                    items: dict[int, set] = {}
+                    if not first:
+                        for k, (own, spans) in enumerate(zip(part.column("item_ids").to_pylist(), part.column("spans").to_pylist())):
+                            if own:
+                                items[k] = set(own)
+                            for span in spans:
+                                cover[ends[k] + span["start"]] += 1
+                                cover[ends[k] + span["end"]] -= 1
                     known = phrases(held, window)
                     start, length, number = known.find(texts)
                     np.add.at(cover, start, 1)
@@ -157,23 +173,33 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_byte
                     pairs = np.unique(np.stack([doc, number]), axis=1) if len(doc) else np.empty((2, 0), np.int64)
                     for d, k in zip(*pairs.tolist()):
                         items.setdefault(d, set()).update(known.owners[k])
-                hit = np.cumsum(cover)[:-1] > 0
-                n_hit = np.add.reduceat(hit, ends[:-1], dtype=np.int64) if len(texts) else []
-                cols = {f.name: part.column(f.name) for f in fields if f.name != "text" or "text" in keep}
-                spans = [[{"start": s, "end": e} for s, e in spans_of(raw[k], hit[ends[k] : ends[k + 1] - 1])] if k in items else [] for k in range(len(texts))]
-                yield pa.RecordBatch.from_pydict(
-                    cols
-                    | {
-                        "n_words": pa.array([len(w) for w in texts], pa.int64()),
-                        "n_hit": pa.array(n_hit, pa.int64()),
-                        "item_ids": pa.array([sorted(items.get(k, ()), key=str) for k in range(len(texts))], pa.list_(item_arrow)),
-                        "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    }
-                )
-
-    item_arrow = pa.string() if item_type == "string" else pa.int32() if item_type == "int" else pa.int64()
-    out = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != "text" or "text" in keep]
-    return src.mapInArrow(run, ", ".join([*out, "n_words bigint, n_hit bigint", f"item_ids array<{item_type}>", "spans array<struct<start:bigint,end:bigint>>"]))
+                    hit = np.cumsum(cover)[:-1] > 0
+                    own_hit = lambda k: hit[ends[k] : ends[k + 1] - 1]
+                    cols = {f.name: part.column(f.name) for f in fields if not last or f.name != "text" or "text" in keep}
+                    if last:
+                        spans = [[{"start": s, "end": e} for s, e in spans_of(raw[k], own_hit(k))] if k in items else [] for k in range(len(texts))]
+                        cols["n_words"] = pa.array([len(w) for w in texts], pa.int64())
+                        cols["n_hit"] = pa.array(np.add.reduceat(hit, ends[:-1], dtype=np.int64) if len(texts) else [], pa.int64())
+                    else:
+                        spans = [[{"start": s, "end": e} for s, e in runs_of(own_hit(k)).tolist()] if k in items else [] for k in range(len(texts))]
+                    cols["item_ids"] = pa.array([sorted(items.get(k, ()), key=str) for k in range(len(texts))], pa.list_(item_arrow))
+                    cols["spans"] = pa.array(spans, hits_type)
+                    yield pa.RecordBatch.from_pydict(cols)
+
+        out = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields if not last or f.name != "text" or "text" in keep]
+        return run, ", ".join([*out, *(["n_words bigint, n_hit bigint"] if last else []), f"item_ids array<{item_type}>", f"spans {spans_type}"])
+
+    parts = chunks(benchmark, "item_id", "text", chunk_bytes)
+    rows, this, nth = docs.select(*(f.name for f in fields)), next(parts, []), 0
+    while True:
+        after = next(parts, None)
+        held = spark.sparkContext.broadcast((f"{key}-{nth}", this))
+        rows = rows.mapInArrow(*search(held, not nth, after is None))
+        if after is None:
+            return rows
+        rows = materialize(rows, "decontam-pass")
+        held.unpersist()
+        this, nth = after, nth + 1
 
 
 def contaminated():
@@ -194,12 +220,17 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that the rule doesn't judge contaminated, unchanged."""
-    return scan(docs, benchmark, keep=tuple(docs.columns)).where(~contaminated()).select(docs.columns)
+    """The documents that the rule doesn't judge contaminated, unchanged.
+
+    Null and empty texts have no words and stay; long texts are searched whole; repeated rows and ids get their own
+    decisions; an empty table gives none, an empty benchmark drops none. Other columns stay, whatever they are called.
+    """
+    plain, back = set_aside(docs)
+    return scan(plain, benchmark, keep=tuple(plain.columns)).where(~contaminated()).select(back)
 
 
 def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """scan()'s rows, with text kept, and a column ``cleaned``: the text without the merged spans."""
+    """scan()'s rows, with text kept, and a column ``cleaned``: the text without the merged spans; null texts stay null."""
     keep = F.expr(f"""
         aggregate(
             spans,

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready_workers
+from .aside import set_aside
 from .bpe import by_bytes
 
 THRESHOLD = 0.7
@@ -121,7 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns of every row, score and predicted. Without a model nothing is rejected: the score is 1."""
+    """The kept columns of every row, score and predicted. Without a model nothing is rejected: the score is 1. A null text
+    counts as empty; null ids, repeats and ties are rows like others; kept columns mustn't be called score or predicted.
+    """
     ready_workers(docs.sparkSession)
     fields = [docs.schema[c] for c in dict.fromkeys((*keep, "text"))]
 
@@ -142,5 +145,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, unchanged."""
-    return score(docs, fit(docs, labels), keep=tuple(docs.columns)).where("predicted = 1").select(docs.columns)
+    """The documents that the classifier accepts, unchanged.
+
+    Null and empty texts are scored as texts of length 0, long ones whole; repeated rows and ids get their own decisions; an
+    empty table gives none; without labels of both classes all stay. Other columns stay, whatever they are called.
+    """
+    plain, back = set_aside(docs)
+    return score(plain, fit(plain, labels), keep=tuple(plain.columns)).where("predicted = 1").select(back)

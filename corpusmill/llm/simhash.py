@@ -3,10 +3,11 @@
 A fingerprint's 64 bits are 32 segments of two; their bit counts are a point of a grid, packed into 64 bits. The
 Manhattan distance of two points is at most the Hamming distance of the fingerprints. So fingerprints that differ in at
 most two bits have points at most two apart, and share a cell if each is put into its own cell and all cells one step
-away. That join keeps the fingerprints which have some other one in range. They are then verified exactly: two
-fingerprints differ in at most two bits if and only if some 64-bit value is at most one bit from both, so each
-fingerprint emits its 65 such values and is linked to the smallest of those that share one. This gives a star for each
-shared value instead of all pairs, and the same components. Rows made are at most 65 for each distinct fingerprint.
+away. This range join gives the candidates: a cell of up to CELL fingerprints compares them with each other, and bit counts
+verify each pair exactly. Fuller cells would make too many pairs. Their fingerprints are linked by another exact rule: two
+differ in at most two bits if and only if some 64-bit value is at most one bit from both, so each emits its 65 such values
+and is linked to the smallest of those that share one. That is a star for each shared value instead of all pairs, with the
+same components. Only distinct fingerprints take part; each makes at most 65 rows, and a cell at most CELL a fingerprint.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import drop, materialize, ready_workers
+from .aside import set_aside
 from .bpe import by_bytes
 
 WIDTH, SEED = 3, 42
 SALTS = 16
+#: Fingerprints in a cell that are compared pair by pair.
+CELL = 64
 #: Every second bit of 64, as a signed number.
 ODD_BITS = 0x5555555555555555
 
@@ -82,19 +86,20 @@ def cells(fps: DataFrame) -> DataFrame:
 
 
 def in_range(fps: DataFrame) -> DataFrame:
-    """Fingerprints (distinct) with another one at a Manhattan distance of at most two. A cell's rows meet once, in a window
-    that spills; nothing is joined back."""
-    in_cell = W.partitionBy("cell")
-    put = cells(fps).withColumn("a", F.min("fp").over(in_cell)).withColumn("b", F.max("fp").over(in_cell))
-    return put.where("a < b").select("fp").distinct()
+    """(cell, fp, n) of the cells that n > 1 of the distinct fingerprints share. A cell's rows meet once, in a window that
+    spills; nothing is joined back."""
+    return cells(fps).withColumn("n", F.count("*").over(W.partitionBy("cell"))).where("n > 1")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (u, v), v < u, of stars whose components are those of all pairs within two bits; fps: distinct."""
-    near = materialize(in_range(fps), "simhash-near")
-    middle = near.select("fp", F.expr("explode(sequence(0, 64))").alias("b")).select("fp", F.expr("CASE WHEN b = 0 THEN fp ELSE fp ^ shiftleft(1L, b - 1) END").alias("mid"))
-    star = middle.withColumn("v", F.min("fp").over(W.partitionBy("mid")))
-    return star.select(F.col("fp").alias("u"), "v").where("v < u AND bit_count(u ^ v) <= 2").distinct()
+def links(fps: DataFrame, most: int = CELL) -> DataFrame:
+    """Edges (u, v), v < u, between fingerprints within two bits, with the components of all such pairs; fps: distinct."""
+    shared = materialize(in_range(fps), "simhash-cells")
+    few = shared.where(F.col("n") <= most).groupBy("cell").agg(F.collect_list("fp").alias("members"))
+    pairs = few.select(F.explode("members").alias("u"), "members").select("u", F.expr("explode(filter(members, v -> v < u AND bit_count(u ^ v) <= 2))").alias("v"))
+    many = shared.where(F.col("n") > most).select("fp").distinct()
+    middle = many.select("fp", F.expr("explode(sequence(0, 64))").alias("b")).select("fp", F.expr("CASE WHEN b = 0 THEN fp ELSE fp ^ shiftleft(1L, b - 1) END").alias("mid"))
+    star = middle.withColumn("v", F.min("fp").over(W.partitionBy("mid"))).where("v < fp").select(F.col("fp").alias("u"), "v")
+    return pairs.union(star).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -134,7 +139,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = materialize(fingerprints(df, id_col, text_col, told_apart), "simhash-fp")
     nodes = held.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes now, but 50 cells for each to come
-    tree = components(links(held.select("fp").repartition(parts, "fp").distinct()))
+    tree = components(links(nodes.select("fp").repartition(parts, "fp")))
     rooted = nodes.join(tree.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     ends = tree.select(F.col("v").alias("fp")).distinct().withColumn("linked", F.lit(True))
     rooted = rooted.join(ends, "fp", "left")
@@ -148,13 +153,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents, one of each component: a row with its smallest doc_id, of several such the one with the least hash of
-    its text. Rows of one id are told apart by their text; rows of null ids stay, of those that repeat a text one."""
+    its text. Rows of one id are told apart by their text.
+
+    Null and empty texts have no words and form one component. Rows of null ids stay, of those that repeat a text one. Long
+    texts count whole; an empty table gives none; other columns stay as they are, whatever they are called.
+    """
+    docs, back = set_aside(docs)
     marks = materialize(near_duplicates(docs, told_apart=True), "simhash-marks")
     first = marks.where("doc_id = component_id").groupBy("root").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least < most").drop("most")
     others = marks.where("doc_id = component_id").join(first, "root").where("text_hash > least")
     losers = marks.where("doc_id <> component_id").unionByName(others.drop("least")).select(F.col("doc_id").alias("_loser"), F.col("text_hash").alias("_hash")).distinct()
     kept = docs.withColumn("_text", F.xxhash64("text")).join(losers, (F.col("doc_id") == F.col("_loser")) & (F.col("_text") == F.col("_hash")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    return kept.dropDuplicates(["doc_id", "_text"]).select(back)
 
 
 def hex16(fp) -> F.col:
