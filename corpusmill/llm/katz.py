@@ -10,7 +10,9 @@ sends the sorted 64-bit hashes of its words and bigrams with their training coun
 or context is spread over all buckets and stands once for each part. A bucket adds up the counts and answers each part
 with an array in the order in which it asked, so answers need no keys; of the parts that hold a kept bigram the first owns
 it. Owners send what alpha needs, summed for each context; alphas are answered the same way. Each part then evaluates the
-recursion for all its tokens. Discounts come from the counts of counts, a handful of numbers.
+recursion for all its tokens. Discounts come from the counts of counts up to FIT, a handful of numbers, smoothed by a
+log-linear fit so that Good-Turing's factors always apply. A message holds at least one word, so their number is at most that
+of the parts' distinct words and bigrams, however many buckets there are.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialize, ready_workers
 from .bpe import by_bytes
-from .chunks import _Numbers
 from .tokenbin import input_bytes
 
 K, MIN_BIGRAM = 5, 1
+#: Counts of counts that the fit takes, and the slope that it keeps below: from -1 on, the factors would not lie within 0 and 1.
+FIT, FLATTEST = 40, -1.05
 #: Bytes of text in a part, and input bytes for each bucket.
 PART_BYTES, BUCKET_BYTES = 8_000_000, 16_000_000
 #: Fixed keys of the end of a text and of the place before its first word.
@@ -44,6 +48,14 @@ ROW = "kind string, bucket int, part bigint, blob binary, stats array<bigint>"
 ROW_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("part", pa.int64()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
 
+class _Numbers(dict):
+    """Numbers new keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one blob: each byte plane on its own, then deflated; unsigned sorted ones as differences (dtype u8)."""
     out = [struct.pack("<B", len(arrays))]
@@ -147,10 +159,9 @@ class Part:
 
     def requests(self, part: int, buckets: int, kinds: str) -> Iterator[dict]:
         for kind in kinds:
-            for k in range(buckets):
+            for k in np.flatnonzero(np.diff(self.cuts[kind])).tolist():
                 own = self.ask(kind, k)
-                if len(own):
-                    yield {"kind": kind, "bucket": k, "part": part, "blob": pack(self.keys[kind][own], smallest(self.counts[kind][own])), "stats": None}
+                yield {"kind": kind, "bucket": k, "part": part, "blob": pack(self.keys[kind][own], smallest(self.counts[kind][own])), "stats": None}
 
     def answers(self, rows: list[dict], kind: str, of: str, column: int, fill: float = 0) -> np.ndarray:
         """The answered column for all words or bigrams."""
@@ -165,8 +176,8 @@ class Part:
 
 
 def of_count(c: np.ndarray) -> np.ndarray:
-    """How often each count 1 to K + 1 stands."""
-    return np.bincount(c[(c >= 1) & (c <= K + 1)], minlength=K + 2)[1:]
+    """How often each count 1 to FIT stands."""
+    return np.bincount(c[(c >= 1) & (c <= FIT)], minlength=FIT + 1)[1:]
 
 
 def counted(table: pa.Table) -> pa.Table:
@@ -223,17 +234,23 @@ class Discounts:
     unknown: float
 
 
+def slope(of: list[int]) -> float:
+    """Of the line through the logs of the counts of counts 1, 2, ..., each spread over the gap around it (simple
+    Good-Turing); -2, as Zipf's law has it, where there are not two of them."""
+    at = [r for r, n in enumerate(of, 1) if n]
+    if len(at) < 2:
+        return -2.0
+    gap = [(b - a) / 2 for a, b in zip([0, *at[:-1]], [*at[1:], 2 * at[-1] - at[-2]])]
+    x, y = np.log(at), np.log([of[r - 1] / g for r, g in zip(at, gap)])
+    return min(FLATTEST, float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()))
+
+
 def good_turing(of: list[int]) -> tuple[float, ...]:
-    """Katz's factors for counts 1 to K from the counts of counts 1 to K + 1; where they don't lie between 0 and 1,
-    the counts less a half."""
-    plain = tuple((r - 0.5) / r for r in range(1, K + 1))
-    if not all(of[: K + 1]):
-        return plain
-    cut = (K + 1) * of[K] / of[0]
-    if cut >= 1:
-        return plain
-    out = tuple(((r + 1) * of[r] / of[r - 1] / r - cut) / (1 - cut) for r in range(1, K + 1))
-    return out if all(0 < d < 1 for d in out) else plain
+    """Katz's factors for counts 1 to K from smoothed counts of counts n(r) = c r^b: r* = (r + 1) n(r + 1) / n(r), and what
+    the counts up to K lose is what Good-Turing gives the unseen. With b under -1 they lie between 0 and 1."""
+    b = slope(of) + 1
+    cut = (K + 1) ** b
+    return tuple((((r + 1) / r) ** b - cut) / (1 - cut) for r in range(1, K + 1))
 
 
 def discounts(n: int, v: int, documents: int, uni: list[int], bi: list[int]) -> Discounts:
@@ -270,7 +287,7 @@ def score(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ready_workers(spark)
     src = df.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[src.schema["doc_id"].dataType.simpleString()]
+    id_kind = to_arrow_type(src.schema["doc_id"].dataType)
     buckets = max(4, -(-input_bytes(src) // BUCKET_BYTES))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +318,7 @@ def score(df: DataFrame) -> DataFrame:
     settle()
     stats = first.where("kind IN ('NU', 'NB')").select("kind", F.posexplode("stats").alias("at", "n")).groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
     got = {(r["kind"], r["at"]): int(r["n"]) for r in stats}
-    a, b = [got.get(("NU", k), 0) for k in range(K + 4)], [got.get(("NB", k), 0) for k in range(K + 1)]
+    a, b = [got.get(("NU", k), 0) for k in range(FIT + 3)], [got.get(("NB", k), 0) for k in range(FIT)]
     d = discounts(a[0], a[1], a[2], a[3:], b)
 
     def sums(part: pa.Table, rows: pa.Table) -> pa.Table:
