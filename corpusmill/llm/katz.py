@@ -288,7 +288,7 @@ def score(df: DataFrame) -> DataFrame:
     ready_workers(spark)
     src = df.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     id_kind = to_arrow_type(src.schema["doc_id"].dataType)
-    buckets = max(4, -(-input_bytes(src) // BUCKET_BYTES))
+    buckets = max(16, -(-input_bytes(src) // BUCKET_BYTES))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = 0
