@@ -31,10 +31,10 @@ MAGIC = b"CMB1"
 #: ids as little-endian unsigned 32-bit integers; CRC-32 of the header so far and of what follows it.
 HEAD = struct.Struct("<4s6I2I")
 #: Blocks written and read in one go (writing holds tokens and texts too), and input bytes for each file.
-GO_BLOCKS, READ_BLOCKS = 1800, 2600
+GO_BLOCKS, READ_BLOCKS = 1400, 1400
 FILE_BYTES = 16_000_000
 #: Bytes of text tokenized at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 5_000_000
 
 
 def pack(ids: np.ndarray, begins: list[tuple[int | None, int]], alphabet: np.ndarray, payload: bytes) -> bytes:
