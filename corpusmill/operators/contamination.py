@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from . import windows
 
 N = 13
 WINDOW = 12
@@ -14,31 +13,14 @@ MIN_RUN, MIN_WINDOWS, MIN_RATIO = 48, 64, 0.30
 BLOCKED_LICENSES = ("unknown", "restricted", "noncommercial_restricted")
 
 
-def ngrams(tokens: Column, n: int, stride: int = 1) -> Column:
-    """Word n-grams at every stride-th place, as strings; none where there are fewer words."""
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1), F.lit(stride)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-    return T.let(tokens, lambda w: F.when(F.size(w) >= n, grams(w)).otherwise(F.array().cast("array<string>")))
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, eval_stride: int = 1, doc_stride: int = 1) -> DataFrame:
     """doc_ids that share an n-gram with the benchmark. Strides over 1 on both sides miss shifted overlaps."""
-    known = benchmark.select(F.explode(ngrams(T.words("text"), n, eval_stride)).alias("g")).distinct()
-    seen = docs.select("doc_id", F.explode(ngrams(T.words("text"), n, doc_stride)).alias("g"))
-    return seen.join(known, "g", "left_semi").select("doc_id").distinct()
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc_id, pos, hit): every window of a document and whether it stands in the benchmark."""
-    known = benchmark.select(F.explode(ngrams(T.words("text"), n)).alias("g")).distinct().withColumn("hit", F.lit(True))
-    seen = docs.select("doc_id", F.posexplode(ngrams(T.words("text"), n)).alias("pos", "g"))
-    return seen.join(known, "g", "left").select("doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    return windows.overlaps(docs, benchmark, n, eval_stride, doc_stride).where("hits > 0").select("doc_id").distinct()
 
 
-def longest_runs(flags: DataFrame) -> DataFrame:
-    """(doc_id, windows, hits, run): gaps and islands over consecutive hits."""
-    island = F.col("pos") - F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))
-    runs = flags.where("hit").withColumn("island", island).groupBy("doc_id", "island").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("run"))
-    return flags.groupBy("doc_id").agg(F.count("*").alias("windows"), F.count_if("hit").alias("hits")).join(runs, "doc_id", "left").na.fill(0, ["run"])
+def runs(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """(doc_id, windows, hits, run): a document's windows, those that stand in the benchmark, and the longest run of these."""
+    return windows.overlaps(docs, benchmark, n)
 
 
 def verdicts(runs: DataFrame) -> DataFrame:

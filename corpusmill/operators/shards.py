@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, insort
 from collections.abc import Callable
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,8 @@ def spans(df: DataFrame, seq_len: int, *keys: str) -> DataFrame:
 def fit(costs: list[int], room: int, best: bool, max_open: int | None = None) -> list[int]:
     """The bin of each item in turn: the first open bin with room, or the one that it leaves least of (ties: the first
     opened); with max_open, the fullest is closed before another opens."""
+    if not max_open:
+        return fit_any(costs, room, best)
     used: list[int] = []
     open_: list[int] = []
     out = []
@@ -68,6 +72,31 @@ def fit(costs: list[int], room: int, best: bool, max_open: int | None = None) ->
     return out
 
 
+def fit_any(costs: list[int], room: int, best: bool) -> list[int]:
+    """fit() with all bins open: bins stand in heaps by the room left, so an item looks at the distinct rooms only."""
+    heaps: dict[int, list[int]] = {}
+    rooms: list[int] = []  # those with a bin, ascending
+    out, bins = [], 0
+    for c in costs:
+        if c > room:
+            raise ValueError(f"an item of {c} doesn't fit a bin of {room}")
+        enough = rooms[bisect_left(rooms, c) :]
+        if enough:
+            rest = enough[0] if best else min(enough, key=lambda r: heaps[r][0])
+            pick = heappop(heaps[rest])
+            if not heaps[rest]:
+                del heaps[rest], rooms[bisect_left(rooms, rest)]
+        else:
+            rest, pick, bins = room, bins, bins + 1
+        if rest > c:
+            if rest - c not in heaps:
+                heaps[rest - c] = []
+                insort(rooms, rest - c)
+            heappush(heaps[rest - c], pick)
+        out.append(pick)
+    return out
+
+
 def policy(decreasing: bool, best: bool, max_open: int | None = None) -> Callable[[pd.DataFrame, int], pd.DataFrame]:
     def run(g: pd.DataFrame, room: int) -> pd.DataFrame:
         g = g.assign(cost=g.n_tokens + 1)

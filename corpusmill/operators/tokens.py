@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,17 +155,34 @@ def encode_word(word: str, ranks: dict[tuple[int, int], int]) -> list[int]:
     return ids
 
 
+#: Pre-tokens whose ids a task keeps.
+KEPT_WORDS = 500_000
+
+
 def encode(df: DataFrame, merges: list[tuple[int, int]], c: str = "text") -> DataFrame:
-    """(doc_id, ids): each distinct pre-token is encoded once, then joined back in order."""
+    """(doc_id, ids): a task encodes each pre-token that it keeps once; nothing is shuffled. Null texts have no ids."""
+    ready_workers(df.sparkSession)
     ranks = {p: k for k, p in enumerate(merges)}
+    split = re.compile(PRE_TOKEN).findall
+    kind = df.schema["doc_id"].dataType.simpleString()
 
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: encode_word(w, ranks))
-
-    each = df.select("doc_id", F.posexplode(pre_tokens(c)).alias("pos", "word"))
-    coded = each.select("word").distinct().withColumn("ids", F.pandas_udf(run, "array<int>")("word"))
-    both = each.join(coded, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-    return df.select("doc_id").join(both, "doc_id", "left").select("doc_id", F.coalesce(F.flatten(F.transform("x", lambda p: p["ids"])), F.array().cast("array<int>")).alias("ids"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            out = []
+            for text in batch.column(c).to_pylist():
+                ids: list[int] = []
+                for word in split(text or ""):
+                    own = known.get(word)
+                    if own is None:
+                        own = encode_word(word, ranks)
+                        if len(known) < KEPT_WORDS:
+                            known[word] = own
+                    ids += own
+                out.append(ids)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
+
+    return df.select("doc_id", c).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def token_bytes(merges: list[tuple[int, int]]) -> list[bytes]:

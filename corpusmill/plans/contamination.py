@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as S
 from ..operators import contamination as C
+from ..operators import windows
 from ..registry import query
 from ..session import table
 from .cleaning import DIRTY, dirty, docs
@@ -51,12 +52,15 @@ def decontam_phrases(spark, sf_dir):
     return dirty(spark, sf_dir).where(test).select("doc_id")
 
 
-@query()
-def window_hashes(spark, sf_dir):
-    """A 64-bit hash of every 12-word window."""
-    from ..functions import text as T
+POWERS = ", ".join(f"{pow(windows.BASE, C.WINDOW - 1 - k, 1 << 64)}::HUGEINT" for k in range(C.WINDOW))
+
 
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(C.ngrams(T.words("text"), C.WINDOW)).alias("pos", "g")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.xxhash64("g").alias("h"))
+@query(f"""WITH w AS (SELECT doc_id, list_transform({S.words()}, lambda x: CAST(CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) AS HUGEINT)) AS t FROM documents), p AS (SELECT doc_id, t, unnest(range(0, len(t) - {C.WINDOW - 1})) AS pos FROM w WHERE len(t) >= {C.WINDOW}),
+    u AS (SELECT doc_id, pos, list_sum(list_transform(list_zip(t[pos + 1 : pos + {C.WINDOW}], [{POWERS}]), lambda z: (z[1] * z[2]) % 18446744073709551616)) % 18446744073709551616 AS h FROM p)
+    SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS h FROM u""")
+def window_hashes(spark, sf_dir):
+    """The rolling polynomial hash of every 12-word window, wrapped at 64 bits."""
+    return windows.hashes(docs(spark, sf_dir), C.WINDOW)
 
 
 HITS = f"h AS (SELECT doc_id, pos, g IN (SELECT g FROM {grams_sql('benchmark', 'item_id', 12)} b) AS hit FROM {grams_sql('documents', 'doc_id', 12)} d)"
@@ -68,13 +72,13 @@ RUNS = f"""{HITS}, i AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY do
 @query(f"WITH {HITS} SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM h WHERE hit GROUP BY doc_id")
 def window_hits(spark, sf_dir):
     """E5."""
-    return C.hits(docs(spark, sf_dir), table(spark, sf_dir, "benchmark")).where("hit").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return C.runs(docs(spark, sf_dir), table(spark, sf_dir, "benchmark")).where("hits > 0").select("doc_id", "hits")
 
 
 @query(f"WITH {RUNS} SELECT doc_id, CAST(windows AS BIGINT) AS windows, CAST(hits AS BIGINT) AS hits, CAST(run AS BIGINT) AS run, hit_ratio, reason FROM runs")
 def contamination_runs(spark, sf_dir):
     """Longest verbatim run and verdict of each document."""
-    return C.verdicts(C.longest_runs(C.hits(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))))
+    return C.verdicts(C.runs(docs(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
 def verdict_of_shards(spark, sf_dir) -> DataFrame:

@@ -88,7 +88,7 @@ def test_contamination_runs_and_gate(spark):
     item = " ".join(f"q{k}" for k in range(80))
     b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     d = docs(spark, ["x " * 30 + item + " y" * 30, "x " * 100])
-    r = {x.doc_id: x for x in contamination.verdicts(contamination.longest_runs(contamination.hits(d, b))).collect()}
+    r = {x.doc_id: x for x in contamination.verdicts(contamination.runs(d, b)).collect()}
     assert r[0].run == 69 and r[0].reason == "verbatim_run" and r[1].reason is None
     m = spark.createDataFrame([("a", "t", "train", "trainable", False, "cc", "exact_dedup_pass", "clean", "h"), ("b", "t", "eval", None, True, None, None, None, None)], "shard_id string, tokenizer_hash string, split string, permission string, never_train boolean, license string, dedup_status string, contamination_status string, cleaning_pipeline_hash string")
     g = {x.shard_id: x for x in contamination.admit(m, "t").collect()}
