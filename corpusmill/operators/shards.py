@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left, insort
+from collections import OrderedDict
 from collections.abc import Callable
 from heapq import heappop, heappush
 
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .order import ranked
 
 EOS, PAD, PAD_SEGMENT = 1, 0, -1
 MIN_SPAN = 8
@@ -25,9 +27,34 @@ def token_ids(c: str = "text") -> Column:
 
 
 def assign(df: DataFrame, per_shard: int, *keys: str) -> DataFrame:
-    """Adds shard: runs of so many documents, in order of doc_id, within the keys."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy("doc_id"))
-    return df.withColumn("shard", F.floor((n - 1) / per_shard).cast("long"))
+    """Adds shard: runs of so many documents, in order of doc_id (which tells rows apart), within the keys. Only keys and ids
+    are ordered; texts meet their shard by id."""
+    places = ranked(df.select(*keys, "doc_id"), list(keys), ["doc_id"])
+    return df.join(places.select("doc_id", F.floor(F.col("place") / per_shard).cast("long").alias("shard")), "doc_id")
+
+
+def lru(accesses: list, capacity: int) -> list[bool]:
+    """Whether each access finds its shard among the capacity shards used last."""
+    held: OrderedDict = OrderedDict()
+    out = []
+    for key in accesses:
+        out.append(key in held)
+        held[key] = None
+        held.move_to_end(key)
+        if len(held) > capacity:
+            held.popitem(last=False)
+    return out
+
+
+def cache_hits(reads: DataFrame, reader: str, order: str, key: str, capacity: int) -> DataFrame:
+    """(reader, hits, misses) of a cache of shards for each reader, whose reads go one after the other."""
+    kind = reads.schema[reader].dataType.simpleString()
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        found = lru(g.sort_values(order)[key].tolist(), capacity)
+        return pd.DataFrame({reader: g[reader].iloc[:1], "hits": [sum(found)], "misses": [len(found) - sum(found)]})
+
+    return reads.select(reader, order, key).groupBy(reader).applyInPandas(one, f"{reader} {kind}, hits bigint, misses bigint")
 
 
 def spans(df: DataFrame, seq_len: int, *keys: str) -> DataFrame:
@@ -186,8 +213,8 @@ def pack_first(samples: DataFrame, seq_len: int, bins: int, max_open: int = 8) -
 
 def pad_only(samples: DataFrame) -> DataFrame:
     """One sample a bin."""
-    bin_ = F.row_number().over(W.partitionBy("lane").orderBy("sample_id")) - 1
-    return samples.select("lane", F.lit(0).cast("long").alias("chunk"), "sample_id", "doc_id", "n_tokens", bin_.cast("long").alias("bin"), F.lit(0).cast("long").alias("bin_offset"), F.lit(0).cast("long").alias("segment"))
+    bin_ = F.col("place")
+    return ranked(samples.select("lane", "sample_id", "doc_id", "n_tokens"), ["lane"], ["sample_id"]).select("lane", F.lit(0).cast("long").alias("chunk"), "sample_id", "doc_id", "n_tokens", bin_.cast("long").alias("bin"), F.lit(0).cast("long").alias("bin_offset"), F.lit(0).cast("long").alias("segment"))
 
 
 def utilisation(packed: DataFrame, seq_len: int) -> DataFrame:

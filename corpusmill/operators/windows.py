@@ -108,6 +108,33 @@ def overlaps(docs: DataFrame, known_texts: DataFrame, n: int, known_stride: int
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, windows bigint, hits bigint, run bigint")
 
 
+def sketches(docs: DataFrame, n: int = 8, size: int = 8) -> DataFrame:
+    """(doc_id, sketch array<bigint>): the smallest distinct hashes (as unsigned numbers) of a text's n-word windows; of all its
+    words where there are fewer, none below two words."""
+    ready_workers(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = Words(batch.column("text"))
+            many = np.diff(w.ends)
+            out: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for width in range(2, n + 1):
+                _, text, h = w.windows(width)
+                own = many[text] == width if width < n else many[text] >= n
+                text, h = text[own], h[own]
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                new = np.append(True, (np.diff(text) != 0) | (h[1:] != h[:-1]))[: len(text)]
+                text, h = text[new], h[new]
+                place = np.arange(len(text)) - np.searchsorted(text, text)
+                for t, x in zip(text[place < size].tolist(), h[place < size].view(np.int64).tolist()):
+                    out[t].append(x)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sketch": pa.array(out, pa.list_(pa.int64()))})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sketch array<bigint>")
+
+
 def joined_runs(flags: DataFrame, stride: int = 1) -> DataFrame:
     """overlaps()'s rows from (doc_id, pos, hit): gaps and islands over consecutive hits."""
     from pyspark.sql import Window as W

@@ -106,7 +106,18 @@ def ghost_tag_rewrite(spark, sf_dir):
     return dirty(spark, sf_dir).select("doc_id", F.array_join(clean.marker_kinds(), ",").alias("kinds"), clean.remove_markers().alias("text"))
 
 
-@query()
+def split_sql(before: str, pattern: str) -> str:
+    """One step of the chat split over (doc_id, i, o): the first marker cuts the instruction, the rest goes to the output."""
+    trim = lambda x: f"regexp_replace({x}, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
+    return f"(SELECT doc_id, CASE WHEN m = '' THEN i ELSE {trim('left(i, strpos(i, m) - 1)')} END AS i, CASE WHEN m = '' THEN o ELSE {trim('substr(i, strpos(i, m) + length(m))')} || chr(10) || o END AS o FROM (SELECT doc_id, i, regexp_replace(o, '{pattern}', '', 'g') AS o, regexp_extract(i, '{pattern}') AS m FROM {before}))"
+
+
+CHAT = f"(SELECT doc_id, {'regexp_replace(' * 3}text, '(?i)^\\[User\\]:[ \\t\\n\\r\\f]*', ''), '(?i)^<human>:[ \\t\\n\\r\\f]*', ''), '(?i)^### Instruction:[ \\t\\n\\r\\f]*', '') AS i, '' AS o FROM dirty)"
+for _p in ("(?i)\\[Assistant\\]:[ \\t\\n\\r\\f]*", "(?i)<bot>:[ \\t\\n\\r\\f]*", "(?i)### Response:[ \\t\\n\\r\\f]*"):
+    CHAT = split_sql(CHAT, _p)
+
+
+@query(f"WITH {DIRTY} SELECT doc_id, i AS instruction, o AS output, '<|im_start|>user' || chr(10) || i || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || o || '<|im_end|>' AS text FROM {CHAT}")
 def chat_records(spark, sf_dir):
     """Dirty documents as instructions, with markers stripped and assistant parts split out, as canonical chat text."""
     return dirty(spark, sf_dir).select("doc_id", clean.unify_format(F.col("text"), F.lit("")).alias("r")).select("doc_id", "r.*")

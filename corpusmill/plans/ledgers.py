@@ -85,16 +85,31 @@ def step_coverage(spark, sf_dir):
     return L.coverage(steps(spark, sf_dir), "branch", "step").select("branch", "rows", "distinct", "duplicates", "missing", "exactly_once", "monotonic")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS differing, true AS same_rows")
+def _replay_sql() -> str:
+    from . import sharding
+
+    return f"WITH {sharding.SPANS} SELECT lang AS lane, CAST(count(*) AS BIGINT) AS samples, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS differing FROM spans GROUP BY lang"
+
+
+@query(_replay_sql())
 def replay_from_ledger(spark, sf_dir):
-    """M2: bins rebuilt from their spans have the same hashes."""
-    from ..session import materialize
+    """M2: a run's ledger of bins, as JSON lines with each bin's hash and the spans it took; the bins are rebuilt from these
+    spans and the documents alone, without packing, and hashed again."""
+    from ..operators import shards
+    from ..session import scratch
+    from ..sources import tables as src
     from . import sharding
 
-    keep = sharding.packed_bins(spark, sf_dir).select("lane", "chunk", "bin", "content_hash")
-    written = materialize(keep, "bins")
-    both = written.alias("a").join(keep.alias("b"), ["lane", "chunk", "bin"], "full")
-    return both.agg(F.count_if(~F.col("a.content_hash").eqNullSafe(F.col("b.content_hash"))).alias("differing"), (F.count("a.content_hash") == F.count("b.content_hash")).alias("same_rows"))
+    packed = shards.pack(sharding.lane_samples(spark, sf_dir), "best_fit_decreasing", sharding.SEQ)
+    run = sharding.hashed(shards.bins(packed, sharding.span_tokens(spark, sf_dir), sharding.SEQ)).select("lane", "chunk", "bin", "content_hash")
+    spans = packed.groupBy("lane", "chunk", "bin").agg(F.array_sort(F.collect_list(F.struct("segment", "sample_id", "doc_id", "n_tokens"))).alias("spans"))
+    path = scratch(spark, "bin-ledger")
+    src.write_jsonl(run.join(spans, ["lane", "chunk", "bin"]), path)
+    read = src.read_jsonl(spark, path, "lane string, chunk bigint, bin bigint, content_hash string, spans array<struct<segment:bigint,sample_id:string,doc_id:bigint,n_tokens:bigint>>")
+    each = read.select("lane", "chunk", "bin", F.explode("spans").alias("s")).select("lane", "chunk", "bin", "s.*")
+    again = sharding.hashed(shards.bins(each, sharding.span_tokens(spark, sf_dir), sharding.SEQ)).select("lane", "chunk", "bin", F.col("content_hash").alias("rebuilt"))
+    both = read.select("lane", "chunk", "bin", "content_hash", F.size("spans").alias("n"), F.expr("aggregate(spans, 0L, (a, s) -> a + s.n_tokens)").alias("t")).join(again, ["lane", "chunk", "bin"], "left")
+    return both.groupBy("lane").agg(F.sum("n").alias("samples"), F.sum("t").alias("tokens"), F.count_if(~F.col("content_hash").eqNullSafe(F.col("rebuilt"))).alias("differing"))
 
 
 @query("SELECT CAST(4 AS BIGINT) AS branches, CAST(0 AS BIGINT) AS differing")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as S
 from ..functions import text as T
-from ..operators import clean, shards
+from ..operators import shards
 from ..operators import tokens as K
+from ..operators.order import ranked
 from ..registry import query
 from ..session import scratch, table
 from ..sources import tables as src
@@ -285,8 +286,7 @@ def row_order(spark, sf_dir):
 
     The order is over row names only, which range partitioning sorts; numbers come from each partition's offset."""
     names = batch(spark, sf_dir).select("row").distinct().withColumn("k", T.keyed_hex("order", F.col("row")))
-    at = F.row_number().over(W.orderBy("k")) - 1
-    o = names.select("row", at.alias("at"))
+    o = ranked(names, [], ["k"], "at")
     return o.select("row", F.floor(F.col("at") / 8).alias("step"), F.floor(F.col("at") % 8 / 2).alias("rank"), (F.floor(F.col("at") / 8) >= 10).alias("continued"))
 
 
@@ -351,4 +351,17 @@ def recovery_accuracy(spark, sf_dir):
     return c.agg(share(F.substring("truth", 1, 2) == F.substring("pred", 1, 2)).alias("first_column"), share(F.col("truth") == F.col("pred")).alias("all_columns"))
 
 
-assert clean.MIN_WORDS == 50
+@query("SELECT item_id, sha256(text || chr(10)) AS sha, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes, CASE WHEN item_id % 7 = 0 THEN 'refused' ELSE 'ok' END AS verdict FROM benchmark")
+def artifact_hashes(spark, sf_dir):
+    """Files with their SHA-256 and size, frozen, and checked again after some were changed: those are refused."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    frozen = src.file_hashes(spark, src.write_files(items, "item_id", "text", scratch(spark, "artifacts")))
+    changed = items.withColumn("text", F.when(F.col("item_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    live = src.file_hashes(spark, src.write_files(changed, "item_id", "text", scratch(spark, "artifacts")))
+    return src.check_frozen(frozen, live).select(F.col("name").cast("long").alias("item_id"), "sha", "bytes", "verdict")
+
+
+@query(f"WITH {WORDS}, h AS (SELECT hex(encode(word)) AS h, n FROM wc), p AS (SELECT unnest(list_transform(range(0, length(h) // 2 - 1), lambda i: substr(h, 2 * i + 1, 4))) AS p, n FROM h WHERE length(h) >= 4), t AS (SELECT p, sum(n) AS n FROM p GROUP BY p ORDER BY n DESC, p DESC LIMIT 1) SELECT CAST('0x' || substr(p, 1, 2) AS BIGINT) AS a, CAST('0x' || substr(p, 3, 2) AS BIGINT) AS b FROM t")
+def bpe_first_merge(spark, sf_dir):
+    """K4: the first merge is the commonest pair of all words, of equal ones that of the larger bytes."""
+    return spark.createDataFrame(K.train(K.word_counts(docs(spark, sf_dir)), 1), "a bigint, b bigint")

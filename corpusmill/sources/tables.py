@@ -58,3 +58,28 @@ def budgeted(df: DataFrame, shard: str, order: str, amount: str, per_shard: int,
 def read_span(tokens, start, end):
     """Tokens [start, end) of an array column."""
     return F.slice(tokens, start + 1, end - start)
+
+
+def write_files(df: DataFrame, name: str, text: str, path: str) -> str:
+    """A text file for each row, in a folder of its name; names tell rows apart."""
+    df.select(F.col(name).alias("name"), F.col(text).alias("value")).write.partitionBy("name").text(path)
+    return path
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha, bytes) of every file under a path of write_files()."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.regexp_extract("path", "name=([^/]*)/", 1).alias("name"), F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))
+
+
+def check_frozen(frozen: DataFrame, live: DataFrame) -> DataFrame:
+    """(name, sha, bytes, verdict) of all frozen files: ok, or refused where the live one is gone or differs."""
+    now = live.select("name", F.col("sha").alias("_sha"))
+    return frozen.join(now, "name", "left").withColumn("verdict", F.when(F.col("sha").eqNullSafe(F.col("_sha")), "ok").otherwise("refused")).drop("_sha")
+
+
+def frozen_or_raise(frozen: DataFrame, live: DataFrame) -> None:
+    """Refuse to go on with files that differ from the frozen ones."""
+    bad = check_frozen(frozen, live).where("verdict = 'refused'").select("name").limit(10).collect()
+    if bad:
+        raise ValueError("files differ from the frozen ones: " + ", ".join(sorted(r.name for r in bad)))

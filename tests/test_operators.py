@@ -142,7 +142,7 @@ def test_attention_of_every_bin(spark, sf_dir, monkeypatch):
     checks = shards.attention_checks
     monkeypatch.setattr(shards, "attention_checks", lambda x: seen.append(x.count()) or checks(x))
     monkeypatch.setattr(sharding, "binned", lambda *_: b)
-    assert sharding.attention_invariants(spark, sf_dir).first() == (True, True, True) and seen == [3]
+    assert sharding.attention_invariants(spark, sf_dir).first() == (True, True, True, 4) and seen == [3]
 
 
 def test_first_bins_are_those_of_all_samples():
@@ -296,3 +296,65 @@ def test_text_functions(spark):
     assert one(d, T.n_words("text")) == [0, 3, -1] or one(d, T.n_words("text")) == [0, 3, None]
     assert one(d, T.symbol_ratio("text", "selector"))[0] == 1.0
     assert math.isclose(one(d, T.mean_word_length("text"))[1], 1.0)
+
+
+def test_windows_broadcast_and_join_agree(spark, monkeypatch):
+    from corpusmill.operators import windows
+
+    words = [f"w{k}" for k in range(60)]
+    b = spark.createDataFrame([(1, " ".join(words[:30])), (2, None), (3, "")], "item_id bigint, text string")
+    texts = ["x y " + " ".join(words[3:25]) + " z", " ".join(words[40:]), None, "", " ".join(words[:11]), " ".join(words[:12]), "\t" + "  ".join(words[5:20]) + "\n" + " ".join(words[5:19])]
+    d = docs(spark, texts)
+    brute = {}
+    known = {tuple(words[k : k + 12]) for k in range(19)}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        flags = [tuple(w[k : k + 12]) in known for k in range(len(w) - 11)]
+        if flags:
+            brute[i] = (len(flags), sum(flags), max(map(len, "".join("x" if f else " " for f in flags).split()), default=0))
+    got = lambda: {r.doc_id: (r.windows, r.hits, r.run) for r in windows.overlaps(d, b, 12).collect()}
+    ids = [r.doc_id for r in d.collect()]
+    want = {ids[i]: v for i, v in brute.items()}
+    assert got() == want
+    monkeypatch.setattr(windows, "BROADCAST_BYTES", 0)
+    assert got() == want
+
+
+def test_ranked_places(spark):
+    from corpusmill.operators.order import ranked
+
+    rows = [("a" if k % 3 else None, f"{(k * 7919) % 1000:03d}") for k in range(500)]
+    got = {(r.g, r.v): r.place for r in ranked(spark.createDataFrame(rows, "g string, v string").repartition(7), ["g"], ["v"]).collect()}
+    for g in ("a", None):
+        own = sorted(v for x, v in rows if x == g)
+        assert [got[g, v] for v in own] == list(range(len(own)))
+    assert sorted(r.place for r in ranked(spark.createDataFrame(rows, "g string, v string"), [], ["v"]).collect()) == list(range(500))
+    assert ranked(spark.createDataFrame([], "g string, v string"), ["g"], ["v"]).count() == 0
+
+
+def test_fits_with_all_bins_open():
+    rng = random.Random(5)
+    for best in (True, False):
+        for _ in range(30):
+            costs = [rng.randint(1, 40) for _ in range(rng.randint(0, 120))]
+            used, want = [], []
+            for c in costs:
+                open_ = [b for b, u in enumerate(used) if u + c <= 40]
+                pick = (max(open_, key=lambda b: (used[b], -b)) if best else open_[0]) if open_ else len(used)
+                if pick == len(used):
+                    used.append(0)
+                used[pick] += c
+                want.append(pick)
+            assert shards.fit(costs, 40, best) == want
+
+
+def test_lru_and_frozen_files(spark, tmp_path):
+    from corpusmill.sources import tables as src
+
+    assert shards.lru([1, 2, 1, 3, 2, 1], 2) == [False, False, True, False, False, False]
+    d = spark.createDataFrame([(1, "a"), (2, "b\nc")], "k bigint, t string")
+    one = src.file_hashes(spark, src.write_files(d, "k", "t", str(tmp_path / "x")))
+    two = src.file_hashes(spark, src.write_files(d.where("k = 1"), "k", "t", str(tmp_path / "y")))
+    src.frozen_or_raise(one, one)
+    with pytest.raises(ValueError, match="2"):
+        src.frozen_or_raise(one, two)
