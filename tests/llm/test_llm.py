@@ -71,6 +71,57 @@ def test_range_coder_round_trip(blocks):
     assert [p for _, p in coded] == [rangecoder.encode([b])[0][1] for b in blocks]  # a block's bytes are its own
 
 
+def scalar_model(ids):
+    """Each id's (start, width) in the mixture, id by id, from the description of the model."""
+    letters = sorted(set(ids.tolist()))
+    place = {x: k for k, x in enumerate(letters)}
+    size, total = len(letters), rangecoder.TOTAL
+    count, freq = [0] * size, None
+    one, two, weights = {}, {}, {}
+    last = last2 = 0
+    out = []
+    for t, s in enumerate(place[x] for x in ids.tolist()):
+        if t in (0, *(256 << k for k in range(5))):
+            share = np.float32((total - size) / max(1, sum(count)))
+            freq = [1 + int(c * float(share)) for c in count]
+            freq[count.index(max(count))] += total - sum(freq)
+        k2 = (last * 2503 + last2 * 40503) % 65536 >> 5
+        (p2, c2), (p1, c1) = two.get(k2, (0, 0)), one.get(last, (0, 0))
+        km = (c2, c1, p1 == p2)
+        m2, m1 = weights.get(km, (6400, 6400))
+        w2, w1 = m2 >> 4, m1 >> 4
+        w0 = total - w2 - w1
+        start = w0 * sum(freq[:s]) + total * (w2 * (p2 < s) + w1 * (p1 < s))
+        out.append((start, w0 * freq[s] + total * (w2 * (p2 == s) + w1 * (p1 == s))))
+        gain = 2016 if (p2 == s) != (p1 == s) else 1008
+        weights[km] = m2 - (m2 >> 5) + gain * (p2 == s), m1 - (m1 >> 5) + gain * (p1 == s)
+        two[k2], one[last] = (s, min(c2 + 1, 3) * (p2 == s)), (s, min(c1 + 1, 3) * (p1 == s))
+        count[s] += 1
+        last, last2 = s, last
+    return out
+
+
+def test_range_coder_is_the_scalar_one():
+    """The payload is that of a scalar coder of the mixture: predictions that agree add up."""
+    rng = np.random.default_rng(7)
+    for ids in (rng.zipf(1.4, 700) % 300, np.tile(rng.integers(0, 50, 40), 12), np.array([3]), np.arange(600)):
+        low, width = 0, 1 << 48
+        words = []
+        for start, share in scalar_model(ids):
+            r = width >> 24
+            low += r * start
+            width = r * share
+            while width < 1 << 32:
+                words.append(low >> 32)
+                low = (low & 0xFFFFFFFF) << 16
+                width <<= 16
+        words += [low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF]
+        for k in range(len(words) - 1, 0, -1):
+            words[k - 1] += words[k] >> 16
+            words[k] &= 0xFFFF
+        assert rangecoder.encode([ids])[0][1] == np.array(words, "<u2").tobytes()
+
+
 def test_range_coder_full_blocks():
     rng = np.random.default_rng(1)
     blocks = [np.zeros(4096, int), np.arange(4096), rng.integers(0, 49408, 4096), rng.zipf(1.3, 4096) % 5000, np.array([7])]
@@ -285,6 +336,37 @@ def test_op5_survives_anything(page):
     html_text.extract("<article>" + page)
 
 
+def brute_runs(weights, window):
+    """Runs by definition: line k is within a run if the window that begins there holds weight; zero ends are cut."""
+    alive = [any(w > 0 for w in weights[k : k + window]) for k in range(len(weights))]
+    out, k = [], 0
+    while k < len(weights):
+        if alive[k]:
+            end = k
+            while end < len(weights) and alive[end]:
+                end += 1
+            own = [i for i in range(k, end) if weights[i] > 0]
+            out.append((own[0], own[-1] + 1))
+            k = end
+        else:
+            k += 1
+    return out
+
+
+def test_op5_windows_decide():
+    rng = random.Random(6)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 1, 50]) for _ in range(rng.randrange(30))]
+        assert html_text.runs(weights, 4) == brute_runs(weights, 4)
+    line = lambda n, links=0, inside=False, bad=False: ["x" * n, links, inside, bad]
+    lines = [line(30, 30), line(30, 30), line(90), line(5, 5), line(10), *[line(20, 20)] * 5, line(20), *[line(20, 20)] * 5, line(200, bad=True)]
+    assert html_text.keep(lines, False) == [False, False, True, True, True] + [False] * 12  # a link within a run stays, a short run and menus go
+    assert html_text.keep([line(3, inside=True), line(500), line(2, 2, inside=True), line(900, bad=True)], True) == [True, False, True, False]
+    assert html_text.keep([line(7)], False) == [True] and html_text.keep([], False) == []
+    page = "<nav><a>menu one</a></nav><div class=ad>Buy now</div><article><h1>T</h1><p>Text.</p><div class=ad>Buy</div><p>More.</p></article><footer>Legal</footer>"
+    assert html_text.extract(page) == "T\nText.\nMore."
+
+
 def test_op5_rows(spark):
     d = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t")], "page_id bigint, url string, html string, text string")
     got = html_text.main_text(d).collect()
@@ -312,6 +394,32 @@ def test_op6(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
+def test_op6_reads_in_linear_time():
+    """Frames are found by their block headers; a reader is handed one frame's bytes, not the rest of the archive."""
+    rng = random.Random(4)
+    records = [warc.record(k, "u", prose(rng, 30).encode() + rng.randbytes(rng.choice([0, 3, 200_000])), None, False) for k in range(60)]
+    whole = b"".join(warc.archives(iter(records)))
+    at, ends = 0, []
+    while at < len(whole):
+        magic, length = struct.unpack_from("<II", whole, at)
+        at = at + 8 + length if magic == warc.DICT_MAGIC else warc.frame_end(memoryview(whole), at)
+        ends.append(at)
+    assert ends[-1] == len(whole) and len(ends) == len(records) + 1
+    assert list(warc.read_archive(memoryview(whole))) == records
+    for cut in (ends[3] - 1, ends[3] - 5, ends[2] + 2, ends[2] + 9):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(memoryview(whole[:cut])))
+
+
+def test_op6_rolls_archives():
+    rng = random.Random(5)
+    records = [rng.randbytes(5000) for _ in range(900)]
+    parts = list(warc.archives(iter(records), limit=1_000_000))
+    assert len(parts) > 3 and all(len(p) < 4_000_000 for p in parts)
+    assert [r for p in parts for r in warc.read_archive(memoryview(p))] == records
+    assert list(warc.archives(iter([]))) == []
+
+
 def test_op6_archive(spark):
     path = scratch(spark, "warc")
     rows = [(k, f"http://h/{k}", f"<p>{'page ' * 50}{k}</p>") for k in range(300)]
@@ -385,6 +493,49 @@ def test_op7_keep_first_with_repeated_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, a.strip()), (2, b.strip()), (3, c.strip()), (4, d.strip()), (None, None)], key=str)
 
 
+CLASHES = "doc_id bigint, text string, score double, predicted int, n_words bigint, n_hit bigint, item_ids string, spans string, _text string, _loser bigint, fp bigint, salt int, root bigint, component_id bigint, `a.b` string, `_aside_9` string"
+
+
+def clashing(spark, rows):
+    """Rows whose further columns have the operators' own names."""
+    return spark.createDataFrame([(i, t, 0.5, 7, 1, 2, "i", "s", "t", 3, 4, 5, 6, 7, "dot", "z") for i, t in rows], CLASHES)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(8)
+    item = prose(rng, 30)
+    long = prose(rng, 9000)
+    rows = [(1, prose(rng, 60)), (2, item), (3, long), (4, long), (5, None), (None, ""), (7, "a"), (7, prose(rng, 50)), (7, "a")]
+    docs = clashing(spark, rows)
+    b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id bigint, quality int")
+    for kept in (decontam.drop_contaminated(docs, b), quality.keep_good(docs, labels), quality.keep_good(docs, labels.limit(0)), simhash.keep_first(docs)):
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            assert tuple(r)[2:] == (0.5, 7, 1, 2, "i", "s", "t", 3, 4, 5, 6, 7, "dot", "z") and (r.doc_id, r.text) in rows
+    assert sorted((r.doc_id or 0) for r in decontam.drop_contaminated(docs, b).collect()) == [0, 1, 3, 4, 5, 7, 7, 7]
+    assert quality.keep_good(docs, labels.limit(0)).count() == len(rows)  # no model rejects nothing
+    first = sorted((r.doc_id or 0, len(r.text or "")) for r in simhash.keep_first(docs).collect())
+    assert first.count((3, len(long))) == 1 and (4, len(long)) not in first and len([x for x in first if x[0] == 7]) == 2
+    empty = clashing(spark, [])
+    assert not decontam.drop_contaminated(empty, b).count() + quality.keep_good(empty, labels).count() + simhash.keep_first(empty).count()
+
+
+def test_op7_full_cells_and_small_ones_agree(spark):
+    """Pairs of a cell and stars of shared values link the same: as many as brute force, whatever counts as full."""
+    rng = random.Random(2)
+    fps = set()
+    for _ in range(6):
+        c = rng.getrandbits(64)
+        fps |= {c} | {c ^ (1 << rng.randrange(64)) ^ (rng.random() < 0.7) * (1 << rng.randrange(64)) ^ (rng.random() < 0.3) * (1 << rng.randrange(64)) for _ in range(40)}
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in sorted(fps)], "fp bigint")
+    near = {(int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 2}
+    pairs = {(r.u, r.v) for r in simhash.links(df, most=10**6).collect()}
+    assert pairs == {(u, v) for u, v in near if v < u}  # the grid finds each pair, and only real ones
+    trees = [{r.u: r.v for r in simhash.components(simhash.links(df, most)).collect()} for most in (1, 8, 10**6)]
+    assert trees[0] == trees[1] == trees[2]
+
+
 def test_op7_hash_is_sparks(spark):
     rows = spark.createDataFrame([("a b c",), ("été 日本 x",)], "t string").select("t", F.xxhash64("t").alias("h")).collect()
     assert all(int(simhash.hash_shingles(r.t.encode()).view(np.int64)[0]) == r.h for r in rows)
@@ -414,6 +565,19 @@ def test_op7_links_are_complete(spark):
     assert all(a in near for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 2)  # the grid loses no link
 
 
+def brute_factors(counts):
+    """Good-Turing's factors by the textbook: the slope of log n(r) over log r, each n(r) spread over the gap around it."""
+    n = Counter(c for c in counts.values() if c <= katz.FIT)
+    seen = sorted(n)
+    slope = -2.0
+    if len(seen) > 1:
+        z = [n[r] / (0.5 * ((seen[k + 1] if k + 1 < len(seen) else 2 * r - seen[k - 1]) - (seen[k - 1] if k else 0))) for k, r in enumerate(seen)]
+        slope = min(-1.05, float(np.polyfit(np.log(seen), np.log(z), 1)[0]))
+    smooth = {r: r**slope for r in range(1, katz.K + 2)}
+    k = (katz.K + 1) * smooth[katz.K + 1] / smooth[1]
+    return {r: ((r + 1) * smooth[r + 1] / smooth[r] / r - k) / (1 - k) for r in range(1, katz.K + 1)}
+
+
 def brute_katz(rows):
     learned = [(i, t) for i, t in rows if katz.learns(i)]
     seqs = lambda t: (t or "").encode().lower().split() + ["</s>"]
@@ -422,11 +586,12 @@ def brute_katz(rows):
         s = seqs(t)
         uni.update(s)
         bi.update(zip(["<s>", *s], s))
-    of = lambda c: [sum(v == r for v in c.values()) for r in range(1, katz.K + 2)]
     n, v = sum(uni.values()), len(uni)
-    d = katz.discounts(n, v, len(learned), of(uni), of(bi))
-    cut = lambda c, f: f[c - 1] if c <= katz.K else 1.0
-    p1 = lambda w: uni[w] * cut(uni[w], d.uni) * d.scale / n if w in uni else d.unknown
+    cut = lambda c, f: f[c] if c <= katz.K else 1.0
+    f1, f2 = brute_factors(uni), brute_factors(bi)
+    lost = sum(c * (1 - cut(c, f1)) for c in uni.values())
+    unknown, scale = (lost / n, 1) if lost > 0 else (1 / (n + 1), n / (n + 1)) if n else (1, 1)
+    p1 = lambda w: uni[w] * cut(uni[w], f1) * scale / n if w in uni else unknown
     kept = defaultdict(list)
     for (h, w), c in bi.items():
         if c >= katz.MIN_BIGRAM:
@@ -434,12 +599,12 @@ def brute_katz(rows):
     p2, alpha = {}, {}
     for h, ws in kept.items():
         nh = len(learned) if h == "<s>" else uni[h]
-        raw = {w: c * cut(c, d.bi) / nh for w, c in ws}
+        raw = {w: c * cut(c, f2) / nh for w, c in ws}
         shrink = min(1, (1 - 1 / (nh + 1)) / sum(raw.values()))
         seen = sum(p1(w) for w in raw)
         alpha[h] = (1 - shrink * sum(raw.values())) / (1 - seen)
         p2.update({(h, w): p * shrink for w, p in raw.items()})
-        total = sum(p2[h, w] for w in raw) + alpha[h] * (sum(p1(w) for w in uni if w not in raw) + d.unknown)
+        total = sum(p2[h, w] for w in raw) + alpha[h] * (sum(p1(w) for w in uni if w not in raw) + unknown)
         assert math.isclose(total, 1, abs_tol=1e-9)  # normalised over all known words and the unknown class
     out = []
     for i, t in rows:
@@ -471,12 +636,35 @@ def test_op8_keeps_bigrams_seen_once(spark):
 
 
 def test_op8_good_turing():
-    counts = [1000, 400, 210, 130, 90, 65]
-    d = katz.good_turing(counts)
-    cut = 6 * 65 / 1000
-    assert math.isclose(d[0], (2 * 400 / 1000 - cut) / (1 - cut)) and all(0 < x < 1 for x in d)
-    assert math.isclose(sum(r * c * (1 - x) for r, (c, x) in enumerate(zip(counts, d), 1)), 1000)  # all of n1's mass
-    assert katz.good_turing([0, 1, 2, 3, 4, 5]) == katz.good_turing([1, 9, 9, 9, 9, 9])
+    exact = [1e6 * r**-2.5 for r in range(1, katz.FIT + 1)]  # counts of counts that need no smoothing: Katz's own formula
+    d = katz.good_turing(exact)
+    cut = (katz.K + 1) * exact[katz.K] / exact[0]
+    for r in range(1, katz.K + 1):
+        assert math.isclose(d[r - 1], ((r + 1) * exact[r] / exact[r - 1] / r - cut) / (1 - cut), rel_tol=0.05)
+    kept = [1e6 * r ** (katz.slope(exact)) for r in range(1, katz.K + 1)]
+    assert math.isclose(sum(r * c * (1 - x) for r, (c, x) in enumerate(zip(kept, d), 1)), kept[0])  # the mass of n1 goes to the unseen
+    for odd in ([0, 1, 2, 3, 4, 5], [1, 9, 9, 9, 9, 9], [], [0] * 40, [7], [5, 900, 3], [1, 50, 2000]):
+        assert all(0 < x < 1 for x in katz.good_turing(odd))
+
+
+def test_op8_factors_of_the_tables():
+    """On the documents of sf0.01 no factor is a stand-in: they are Good-Turing's of the smoothed counts."""
+    import duckdb
+
+    text = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    uni = Counter(w for t in text for w in t.lower().split())
+    bi = Counter(p for t in text for p in zip(t.lower().split(), t.lower().split()[1:]))
+    for c in (uni, bi):
+        of = [sum(v == r for v in c.values()) for r in range(1, katz.FIT + 1)]
+        got = katz.good_turing(of)
+        assert all(math.isclose(a, b) for a, b in zip(got, brute_factors(c).values())) and all(0 < x < 1 for x in got)
+
+
+def test_op8_ids_of_other_types(spark):
+    rows = spark.createDataFrame([("a", "x y"), ("b", None), (None, "x")], "doc_id string, text string")
+    assert {r.doc_id for r in katz.score(rows).collect()} == {"a", "b", None}
+    whole = rows.select(F.lit(3).cast("smallint").alias("doc_id"), "text")
+    assert [r.doc_id for r in katz.score(whole).collect()] == [3] * 3
 
 
 def brute_url(url):
