@@ -5,7 +5,7 @@ ids of its chunks, one after the other. That holds for files whose pre-tokenizer
 space, whose added tokens hold none, and whose normalizers look at no neighbour beyond it; ``check_file`` refuses others.
 
 Where the file is of the kind of word_bpe (lower case, NFC, WORD_PATTERN), chunks are folded first, so that fewer are
-distinct: ASCII letters become lower case, and a mark after a letter or digit becomes a chunk of its own, as no match of the
+distinct: ASCII letters become lower case, and an ASCII mark after a letter or digit begins a new chunk, as no match of the
 pattern goes on from a letter or digit to a mark. Texts that may hold an added token stay as they are.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ MAX_CHUNKS, GATHER = 300_000, 500_000
 #: The pattern of the word_bpe file; letters of ASCII and Latin-1, which stay as they are under NFC.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS, CAPITALS = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
-MARK = rf"([0-9{LETTERS}])([.,;:?!)])"
+MARK = rf"([0-9{LETTERS}])([!-/:-@\[-`{{-~])"
 #: Tasks are the parallelism; the library's threads would only fight over the same cores.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -64,9 +65,20 @@ class Folding:
         return pc.if_else(odd, texts, folded) if pc.any(odd).as_py() else folded
 
 
+def byte_letters() -> str:
+    """What stands for each byte in byte-level files: itself if it is printable, else the next character after the bytes. The
+    blank stays, as it stands between words here."""
+    stay = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    letters = [chr(b if b in stay else next(other)) for b in range(256)]
+    letters[0x20] = " "
+    return "".join(letters)
+
+
 class LibraryCodec:
     """Ids of chunks by the tokenizers library itself. Words of plain letters need no normalizing and no pattern, so many of
-    them, one after the other, are given to its model at once; the last token of each shows its end."""
+    them, one after the other and with their bytes' letters, are given to its model at once; the last token of each shows
+    its end."""
 
     at_once, together = 100_000, 100
 
@@ -80,7 +92,8 @@ class LibraryCodec:
         self.ends = None
         if self.fold.folds and (end := spec["model"].get("end_of_word_suffix")):
             self.plain = Tokenizer(self.tok.model)
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.letters = byte_letters()
             self.ends = np.zeros(self.tok.get_vocab_size(), bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(end)]] = True
 
@@ -93,14 +106,15 @@ class LibraryCodec:
         if self.ends is not None:
             mask = pc.match_substring_regex(chunks, f"^[{LETTERS}{CAPITALS}]+$")
             word = mask.to_numpy(zero_copy_only=False)
-            words = pc.utf8_lower(chunks.filter(mask))
+            words = pc.utf8_lower(chunks.filter(mask)).cast(pa.binary())
         lens = np.zeros(len(chunks), np.int64)
         own = self.ids_of(self.tok, chunks.take(pa.array(np.flatnonzero(~word))).to_pylist())
         lens[~word] = [len(x) for x in own]
         if not word.any():
             return np.concatenate([np.empty(0, np.int32), *own]), lens
         cuts = np.append(np.arange(0, len(words), self.together), len(words)).astype(np.int32)
-        of_words = np.concatenate(self.ids_of(self.plain, pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), " ").to_pylist()))
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), b" ").to_pylist()
+        of_words = np.concatenate(self.ids_of(self.plain, [charmap_decode(x, "strict", self.letters)[0] for x in lines]))
         ends = np.flatnonzero(self.ends[of_words]) + 1
         if len(ends) != len(words):
             raise ValueError("a word's end is not shown by its last token")

@@ -50,7 +50,7 @@ def edge_rows():
 
 def test_chunks_give_the_librarys_ids(tok):
     rng = random.Random(1)
-    letters = "aaabcdeéßΣσςİıĞ'’ \t\n\x0b\x1c\x1d\x85\xa0 ​12٣½Ⅷ日本語한नमस्ते्<|>!?.,-_😀👨‍👩‍👧ÅK"
+    letters = "aaabcdeéßΣσςİıĞ'’ \t\n\x0b\x1c\x1d\x85\xa0 ​12٣½Ⅷ日本語한नमस्ते्<|>!?.,-_😀👨‍👩‍👧ÅK" + "íàßÿ\u0338=*#%$&@/\\[]{}()~`^+;:\""
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["a" * 3000, "<|endoftext|>x<|startoftext|>", "", "'S we'LL"]
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     for codec in (chunks.LibraryCodec(PATH), bpe.PairIndexCodec(PATH)):
