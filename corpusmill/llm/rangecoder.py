@@ -13,6 +13,8 @@ range codes it: with w the weights and F, C the order-0 frequencies and their su
 
     width(s) = w0 F(s) + TOTAL (w2 [s = p2] + w1 [s = p1]),   start(s) = w0 C(s) + TOTAL (w2 [p2 < s] + w1 [p1 < s]).
 
+The range has 62 bits at most and gives up a word of 32 whenever it falls below 30, so a token makes one word at most.
+
 All blocks of a group advance together, a token of each at a time, as NumPy vectors; a block's bytes don't depend on the
 group.
 """
@@ -36,12 +38,14 @@ FULL = 63 << 10 >> RATE
 #: What the weights gain when the order-1 prediction, the order-2 prediction, or both were right (they share it).
 GAIN = np.array([0, FULL, FULL << 16, (FULL // 2) << 16 | FULL // 2], np.uint32)
 FIRST_WEIGHTS = np.uint32(6400 << 16 | 6400)
-#: Steps between looks at the room left for words; a step makes two at most.
+#: Steps between looks at the room left for words; a step makes one at most.
 CHECK_ROOM = 64
 #: Bytes of model state in a group.
 GROUP_BYTES = 160_000_000
 
-_LOW32, _TOP = np.int64(0xFFFFFFFF), np.int64(1 << 32)
+#: The range's bits below the word that leaves next; what the range keeps to at least; a word.
+LOW_BITS, WORD_BITS = 30, 32
+_LEAST, _LOW, _WORD = np.int64(1 << LOW_BITS), np.int64((1 << LOW_BITS) - 1), np.int64((1 << WORD_BITS) - 1)
 
 
 class Model:
@@ -52,7 +56,7 @@ class Model:
         n, w = self.lanes, self.width
         self.sizes = np.array(alphabets)
         lane = np.arange(n)
-        self.at0, self.at2, self.at_mix, self.at_slot = lane * w, lane << ORDER2_BITS, (lane * 32).astype(np.int32), lane << TOTAL_BITS
+        self.at0, self.at2, self.at_mix, self.at_slot = lane * w, lane << ORDER2_BITS, lane * 32, lane << TOTAL_BITS
         self.count = np.zeros(n * w, np.int32)
         self.order1 = np.zeros(n * w, np.uint16)
         self.order2 = np.zeros(n << ORDER2_BITS, np.uint16)
@@ -99,8 +103,9 @@ class Model:
         self.k1 = self.at0 + self.last
         self.e2, self.e1 = self.order2.take(self.k2), self.order1.take(self.k1)
         self.p2, self.p1 = self.e2 & ID_MASK, self.e1 & ID_MASK
+        self.c2, self.c1 = self.e2 >> CONFIDENCE, self.e1 >> CONFIDENCE
         self.agree = self.p1 == self.p2
-        self.km = self.at_mix + ((self.e2 >> CONFIDENCE << 2) + (self.e1 >> CONFIDENCE) + (self.agree.astype(np.uint16) << 4))
+        self.km = self.at_mix + ((self.c2 << 2) + self.c1 + (self.agree.view(np.uint8) << 4))
         self.m = self.mix.take(self.km)
         self.w2, self.w1 = (self.m >> 20).view(np.int32), (self.m >> 4 & 0xFFF).view(np.int32)
         self.w0 = TOTAL - self.w2 - self.w1
@@ -134,8 +139,8 @@ class Model:
         """After place(sym)."""
         right = (self.hit2.view(np.uint8) << 1) | self.hit1.view(np.uint8)
         self.mix[self.km] = self.m - (self.m >> RATE & HALVES) + GAIN.take(right)
-        for table, key, e, hit in ((self.order2, self.k2, self.e2, self.hit2), (self.order1, self.k1, self.e1, self.hit1)):
-            table[key] = sym | (np.minimum((e >> CONFIDENCE) + hit.view(np.uint8), 3) * hit << CONFIDENCE)
+        for table, key, c, hit in ((self.order2, self.k2, self.c2, self.hit2), (self.order1, self.k1, self.c1, self.hit1)):
+            table[key] = sym | (np.minimum(c + hit.view(np.uint8), 3) * hit << CONFIDENCE)
         self.last2, self.last = self.last, sym
 
 
@@ -179,26 +184,24 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[np.ndarray, bytes]]:
             syms[lane, : lens[lane]] = split[k][1]
         words, used = _encode_group(np.ascontiguousarray(syms.T), lens, Model([len(split[k][0]) for k in group], False))
         for lane, k in enumerate(group):
-            out[k] = split[k][0], words[lane, : used[lane]].astype("<u2").tobytes()
+            out[k] = split[k][0], words[lane, : used[lane]].astype("<u4").tobytes()
     return out
 
 
 def _encode_group(syms: np.ndarray, lens: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     n = m.lanes
-    room = len(syms) * 5 // 8 + 2 * CHECK_ROOM + 8
-    words = np.zeros((n, room), np.uint32)
-    flat, row = words.ravel(), np.arange(n) * room
-    pos = np.zeros(n, np.int64)
-    low, rng = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
+    room = len(syms) * 5 // 16 + CHECK_ROOM + 4
+    words = np.zeros((n, room), np.int64)
+    flat, to = words.ravel(), np.arange(n) * room
+    low, rng = np.zeros(n, np.int64), np.full(n, 1 << LOW_BITS + WORD_BITS, np.int64)
     scaled, scale_at = 0, FIRST_SCALE
 
     def flush(upto: int) -> None:
-        """End lanes from upto on: three words settle the value."""
-        lane = np.arange(upto, m.lanes)
-        for k in (32, 16, 0):
-            word = low[lane] >> k
-            flat[row[lane] + pos[lane]] = word if k == 32 else word & 0xFFFF
-            pos[lane] += 1
+        """End lanes from upto on: two words settle the value."""
+        lane = slice(upto, m.lanes)
+        flat[to[lane]] = low[lane] >> LOW_BITS
+        flat[to[lane] + 1] = (low[lane] & _LOW) << WORD_BITS - LOW_BITS
+        to[lane] += 2
 
     for t in range(len(syms)):
         if lens[m.lanes - 1] <= t:
@@ -208,10 +211,11 @@ def _encode_group(syms: np.ndarray, lens: np.ndarray, m: Model) -> tuple[np.ndar
         if t == scale_at:
             m.scale(syms[scaled:t, : m.lanes])
             scaled, scale_at = t, 2 * t
-        if t % CHECK_ROOM == 0 and pos.max() + 2 * CHECK_ROOM + 8 > room:
-            words = np.pad(words, ((0, 0), (0, room // 2)))
-            room += room // 2
-            flat, row = words.ravel(), np.arange(n) * room
+        if t % CHECK_ROOM == 0 and (to - np.arange(n) * room).max() + CHECK_ROOM + 4 > room:
+            more = room // 2 + CHECK_ROOM
+            words = np.pad(words, ((0, 0), (0, more)))
+            room += more
+            flat, to = words.ravel(), to + np.arange(n) * more
         k = m.lanes
         sym = syms[t, :k]
         m.predict()
@@ -221,20 +225,18 @@ def _encode_group(syms: np.ndarray, lens: np.ndarray, m: Model) -> tuple[np.ndar
         r = ra >> 2 * TOTAL_BITS
         lo += r * start
         np.multiply(r, width, out=ra)
-        i = np.flatnonzero(ra < _TOP)
-        while len(i):
-            value, at = lo[i], row[i] + pos[i]
-            flat[at] = value >> 32
-            lo[i] = (value & _LOW32) << 16
-            shifted = ra[i] << 16
-            ra[i] = shifted
-            pos[i] += 1
-            i = i[shifted < _TOP]
+        i = np.flatnonzero(ra < _LEAST)
+        if len(i):
+            value, at = lo[i], to[i]
+            flat[at] = value >> LOW_BITS
+            lo[i] = (value & _LOW) << WORD_BITS
+            ra[i] = ra[i] << WORD_BITS
+            to[i] = at + 1
     flush(0)
-    for col in range(room - 1, 0, -1):  # a word of over 16 bits carries into the one before
-        words[:, col - 1] += words[:, col] >> 16
-    words &= 0xFFFF
-    return words, pos
+    for col in range(room - 1, 0, -1):  # a word of over 32 bits carries into the one before
+        words[:, col - 1] += words[:, col] >> WORD_BITS
+    words &= _WORD
+    return words, to - np.arange(n) * room
 
 
 def decode(blocks: list[tuple[int, np.ndarray, bytes]]) -> list[np.ndarray]:
@@ -251,11 +253,14 @@ def decode(blocks: list[tuple[int, np.ndarray, bytes]]) -> list[np.ndarray]:
 
 def _decode_group(payloads: list[bytes], lens: np.ndarray, m: Model) -> np.ndarray:
     n = m.lanes
-    sizes = np.array([len(p) // 2 for p in payloads])
-    words = np.frombuffer(b"".join(payloads) + b"\0" * 16, "<u2")
-    pos = np.append(0, np.cumsum(sizes))[:-1] + 3
-    code = (words[pos - 3].astype(np.int64) << 32) | (words[pos - 2].astype(np.int64) << 16) | words[pos - 1]
-    rng = np.full(n, 1 << 48, np.int64)
+    sizes = np.array([len(p) // 4 for p in payloads])
+    words = np.frombuffer(b"".join(payloads) + b"\0" * 8, "<u4").astype(np.int64)
+    begin = np.append(0, np.cumsum(sizes))[:-1]
+    rest = WORD_BITS - LOW_BITS
+    code = (words[begin] << LOW_BITS) | (words[begin + 1] >> rest)
+    words = ((words[:-1] & (1 << rest) - 1) << LOW_BITS) | (words[1:] >> rest)  # the bits that come in at a time
+    pos = begin + 1
+    rng = np.full(n, 1 << LOW_BITS + WORD_BITS, np.int64)
     syms = np.zeros((int(lens[0]), n), np.uint16)
     scaled, scale_at = 0, FIRST_SCALE
     for t in range(len(syms)):
@@ -268,18 +273,16 @@ def _decode_group(payloads: list[bytes], lens: np.ndarray, m: Model) -> np.ndarr
         m.predict()
         co, ra = code[:k], rng[:k]
         r = ra >> 2 * TOTAL_BITS
-        sym = m.find((co / r).astype(np.int32))  # exact, as the code has under 49 bits and the value under 25
+        sym = m.find((co // r).astype(np.int32))
         start, width = m.place(sym)
         m.learn(sym)
         co -= r * start
         np.multiply(r, width, out=ra)
         syms[t, :k] = sym
-        i = np.flatnonzero(ra < _TOP)
-        while len(i):
+        i = np.flatnonzero(ra < _LEAST)
+        if len(i):
             at = pos[i]
-            co[i] = (co[i] << 16) | words[at]
-            shifted = ra[i] << 16
-            ra[i] = shifted
+            co[i] = (co[i] << WORD_BITS) | words[at]
+            ra[i] = ra[i] << WORD_BITS
             pos[i] = at + 1
-            i = i[shifted < _TOP]
     return syms

@@ -26,7 +26,7 @@ from .bpe import by_bytes, cache_for, give_back
 from .chunks import LibraryCodec
 
 SYNC = "\x00CMSYNC\n"
-MAGIC = b"CMB1"
+MAGIC = b"CMB2"
 #: magic; ids, documents beginning, bytes of their table, distinct ids, bytes of them, bytes of payload; CRC-32 of the
 #: ids as little-endian unsigned 32-bit integers; CRC-32 of the header so far and of what follows it.
 HEAD = struct.Struct("<4s6I2I")

@@ -105,21 +105,21 @@ def test_range_coder_is_the_scalar_one():
     """The payload is that of a scalar coder of the mixture: predictions that agree add up."""
     rng = np.random.default_rng(7)
     for ids in (rng.zipf(1.4, 700) % 300, np.tile(rng.integers(0, 50, 40), 12), np.array([3]), np.arange(600)):
-        low, width = 0, 1 << 48
+        low, width = 0, 1 << 62
         words = []
         for start, share in scalar_model(ids):
             r = width >> 24
             low += r * start
             width = r * share
-            while width < 1 << 32:
-                words.append(low >> 32)
-                low = (low & 0xFFFFFFFF) << 16
-                width <<= 16
-        words += [low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF]
+            while width < 1 << 30:
+                words.append(low >> 30)
+                low = low % (1 << 30) << 32
+                width <<= 32
+        words += [low >> 30, low % (1 << 30) << 2]
         for k in range(len(words) - 1, 0, -1):
-            words[k - 1] += words[k] >> 16
-            words[k] &= 0xFFFF
-        assert rangecoder.encode([ids])[0][1] == np.array(words, "<u2").tobytes()
+            words[k - 1] += words[k] >> 32
+            words[k] &= 0xFFFFFFFF
+        assert rangecoder.encode([ids])[0][1] == np.array(words, "<u4").tobytes()
 
 
 def test_range_coder_full_blocks():
