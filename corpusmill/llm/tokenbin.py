@@ -31,7 +31,7 @@ MAGIC = b"CMB2"
 #: ids as little-endian unsigned 32-bit integers; CRC-32 of the header so far and of what follows it.
 HEAD = struct.Struct("<4s6I2I")
 #: Blocks written and read in one go (writing holds tokens and texts too), and input bytes for each file.
-GO_BLOCKS, READ_BLOCKS = 1400, 1400
+GO_BLOCKS, READ_BLOCKS = 1700, 1700
 FILE_BYTES = 16_000_000
 #: Bytes of text tokenized at a time.
 SLICE_BYTES = 5_000_000
