@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = "cleaning dedup contamination mixture sharding tokens analytics ledgers numeric relational streams".split()
+PLANS = "cleaning dedup contamination mixture sharding tokens analytics ledgers numeric relational streams models".split()
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
