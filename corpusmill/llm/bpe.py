@@ -237,7 +237,8 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8_000_000) -> Iter
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Rows (id, decoded) of lists of ids; null lists decode to the empty text."""
+    """Rows (id, decoded) of lists of ids. Null and empty lists decode to the empty text; null ids and repeated rows are rows
+    like others; an empty table gives no rows; other columns are left out."""
     ready_workers(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
 

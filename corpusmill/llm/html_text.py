@@ -262,7 +262,11 @@ def extract(page: str | None) -> str:
 
 
 def main_text(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
-    """The id columns, text and n_chars of every row; null pages are empty. No shuffle, whole pages."""
+    """The id columns, text and n_chars of every row. No shuffle, whole pages.
+
+    Null and empty pages, and those without text, have the empty text; null ids and repeated rows are rows like others; an
+    empty table gives no rows. Columns not named are left out; id columns mustn't be called text or n_chars.
+    """
     ready_workers(pages.sparkSession)
     src = pages.select(*id_cols, F.col(html_col).cast("string").alias("_html"))
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import materialize, ready_workers
 from .bpe import by_bytes
@@ -163,7 +164,9 @@ def with_neighbours(df: DataFrame, part_bytes: int = 8_000_000) -> DataFrame:
 
     Texts are sorted once by range; within a partition each row has its neighbour before it. The first row of a
     partition meets the last of the one before in a join on the partition's number, where only those rows have texts.
-    Rows that repeat a doc_id are ordered by text; null ids count as smallest; a lone document is its own next.
+    Rows that repeat a doc_id are ordered by text; null ids count as smallest; a lone document is its own next. Null texts
+    count as empty, long ones whole; an empty table gives no rows; ids may be of any type that has an order; other columns
+    are left out.
     """
     ready_workers(df.sparkSession)
     src = df.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -194,7 +197,7 @@ def with_neighbours(df: DataFrame, part_bytes: int = 8_000_000) -> DataFrame:
         columns = list(zip(*rows)) or [()] * len(names)
         return pa.RecordBatch.from_pydict({n: pa.array(c, k or id_kind) for n, c, k in zip(names, columns, arrow_kinds)})
 
-    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_kind = to_arrow_type(src.schema["doc_id"].dataType)
     held = materialize(src.mapInArrow(run, f"doc_id {kind}, {KINDS}, part bigint, edge string, text string"), "merkle")
     inner = held.where("edge = ''").select(*OUT)
     firsts = held.where("edge = 'first'").select("part", "doc_id", "text", "fingerprint")

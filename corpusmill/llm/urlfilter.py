@@ -97,7 +97,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ..
     """The kept columns of every row, host, path, rule, verdict, ratio.
 
     ratio is null for rows with a rule. Rows that repeat stay separate. Where the rules leave a set without URLs, all that
-    is left is allowed; the same holds for an empty host and path, which have no characters to judge.
+    is left is allowed; the same holds for an empty host and path, which have no characters to judge. Null URLs have both
+    empty; null ids are rows like others; long URLs count whole; an empty table gives no rows. Columns not named are left
+    out; kept columns mustn't have the names of those added.
     """
     host, path = split(F.col("url").cast("string"))
     rows = pages.select(*keep, host.alias("host"), path.alias("path"))

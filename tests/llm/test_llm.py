@@ -275,6 +275,65 @@ def test_op4(spark):
     assert alone.near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """(fingerprint, leaves) of a text by the tree's description, byte by byte."""
+    h = lambda x: hashlib.blake2b(x, digest_size=16).hexdigest()
+    blank, every, sections = b" \t\n\r\f\v", [], [[]]
+    lines = text.encode().split(b"\n")
+    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    for line in lines:
+        leaves, k = [], 0
+        while k < len(line):
+            begin = k
+            while k < len(line) and line[k] not in b".!?":
+                k += 1
+            while k < len(line) and line[k] in b".!?":
+                k += 1
+            while k < len(line) and line[k] in blank:
+                k += 1
+            sentence, cut, at = line[begin:k], 0, 0
+            while len(sentence) > 240 and at < len(sentence):
+                word = at
+                while at < len(sentence) and sentence[at] not in blank:
+                    at += 1
+                while at < len(sentence) and sentence[at] in blank:
+                    at += 1
+                if at - cut >= 32 and int(h(sentence[word:at])[:2], 16) % 8 == 0 or at - cut > 960:
+                    leaves.append(h(sentence[cut:at]))
+                    cut = at
+            if sentence[cut:]:
+                leaves.append(h(sentence[cut:]))
+        node = h(b"P" + bytes.fromhex("".join(leaves)))
+        every += leaves
+        sections[-1].append((node, leaves))
+        if int(node[-1], 16) % 4 == 0 or not line.strip():
+            sections.append([])
+    out, nodes = "", b""
+    for s in filter(None, sections):
+        n = h(b"S" + bytes.fromhex("".join(p for p, _ in s)))
+        nodes += bytes.fromhex(n)
+        out += n[:8] + "(" + "".join(p[:8] + "[" + "".join(x[:6] for x in leaves) + "]" for p, leaves in s) + ")"
+    return h(b"R" + len(text.encode()).to_bytes(8, "big") + nodes) + ";" + out, every
+
+
+def test_merkle_by_its_description():
+    """Trees against a scan byte by byte, likeness against leaves in common, whatever branches they hang on."""
+    rng = random.Random(11)
+    texts = ["", "\n", "\n\n", "a", "...", ". a!? b\n\n c", "x" * 3000, "é. " * 500, "word " * 900]
+    texts += ["".join(rng.choice(["alpha ", "beta. ", "gamma!\n", "\n\n", "delta\t", "Straße ", "long" * 20 + " "]) for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    plain = [plain_fingerprint(t) for t in texts]
+    assert [merkle.tree(t.encode()) for t in texts] == [f for f, _ in plain]
+    for (f, own), (g, other) in zip(plain, plain[1:]):
+        common = sum((Counter(own) & Counter(other)).values())
+        want = 1.0 if f == g else 2 * common / max(1, len(own) + len(other))
+        assert abs(merkle.likeness(f, g) - want) < 1e-12
+
+
+def test_merkle_ids_of_other_kinds(spark):
+    got = merkle.with_neighbours(spark.createDataFrame([(2, "a"), (1, "b")], "doc_id smallint, text string"))
+    assert got.schema["doc_id"].dataType.simpleString() == "smallint" and sorted(r.doc_id for r in got.collect()) == [1, 2]
+
+
 def test_merkle_locates_edits():
     text = "".join(f"Paragraph {k} has words. It has more of them {k * 7}.\n" for k in range(40))
     other = text.replace("words. It has more of them 140.", "words. Something else.")
