@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import xxhash
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -247,6 +248,40 @@ def test_op3(spark):
     assert quality.keep_good(table(spark, rows), labels).columns == table(spark, []).columns
 
 
+def plain_statistics(text):
+    """The classifier's statistics, character by character."""
+    raw = (text or "").encode()
+    share = lambda test: sum(map(test, raw)) / max(1, len(raw))
+    one_of = lambda chars: lambda b: b < 128 and chr(b) in chars
+    upper, lower = share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122)
+    marks, odd = ".,;:'\"()-?", "#$%&*+/<=>@[\\]^_`{}~"
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    some = max(1, len(words))
+    ratios = [len([b for b in raw if 65 <= b <= 90]) / max(1, len([b for b in raw if 65 <= b <= 90 or 97 <= b <= 122])), share(lambda b: 48 <= b <= 57), share(one_of(" \t\r\x0b\x0c")), share(one_of("\n"))]
+    ratios += [share(one_of(marks)), share(one_of("!")), share(one_of("|")), share(one_of(odd))]
+    rest = share(lambda b: b >= 128)
+    ratios += [max(0.0, (1 if raw else 0) - upper - lower - sum(ratios[1:]) - rest), rest, sum(a == b for a, b in zip(words, words[1:])) / some, 1 - len(set(lines)) / max(1, len(lines))]
+    longest = max(map(len, words), default=0)
+    return [*map(math.sqrt, ratios), math.log(1 + len(raw)), math.log(1 + sum(map(len, words)) / some), math.log(1 + len(words) / max(1, len(lines))), math.log(1 + longest)]
+
+
+def test_op3_model(spark):
+    """Means and shrunk covariances of the training fold, labels that repeat and null ids included, computed directly."""
+    rng = random.Random(17)
+    rows = [(k, None if k == 5 else "" if k == 6 else prose(rng, rng.randint(1, 90)) + rng.choice(["", "!!", "\nA|B 12\nA|B 12", " x x x é", " #*#"])) for k in range(160)] + [(8, "again one"), (None, "no id")]
+    marks = [(k, k % 3 % 2) for k in range(150)] + [(9, 1), (3, None), (None, 1), (4, 7)]
+    model = quality.fit(table(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int"))
+    per = [[plain_statistics(t) for i, t in rows for j, y in marks if i is not None and i == j and y == c and zlib.crc32(str(i).encode()) % 4 != 2] for c in (0, 1)]
+    for c in (0, 1):
+        x = np.array(per[c])
+        cov = np.cov(x.T, bias=True)
+        off = cov * (0.9 + 0.1 * np.eye(len(cov)))
+        want = 0.98 * off + 0.02 * (np.trace(off) / len(cov) + 1e-6) * np.eye(len(cov))
+        assert np.allclose(model.mean[c], x.mean(axis=0)) and math.isclose(model.prior[c], math.log(len(x) / (len(per[0]) + len(per[1]))))
+        assert np.allclose(model.whiten[c] @ want @ model.whiten[c].T, np.eye(len(cov)), atol=1e-6)
+        assert math.isclose(model.logdet[c], np.linalg.slogdet(want)[1], rel_tol=1e-9)
+
+
 def test_op3_density():
     rng = np.random.default_rng(1)
     mean = rng.normal(size=(2, quality.D))
@@ -781,6 +816,48 @@ def test_op9_models(spark):
     assert all(math.isclose(d, math.log10(p(a, g) / p(r, g)), abs_tol=1e-9) for g, d in got.items())
 
 
+def test_op9_verdicts(spark):
+    """Ratios, the threshold and verdicts computed directly: accepted URLs are scored by models of the other half's hosts."""
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice('abcdefgh')}{rng.randrange(4)}.{h}/{p}/{rng.choice(['x', 'Yz', '_q', 'é'])}{rng.randrange(50)}" for h, p in [("example.org", "es"), ("other.org", "fr"), ("w.com", "fr"), ("w.com", "de"), ("v.net", "de"), ("v.net", "fr"), ("u.net", "es")] for _ in range(30)]
+    got = {r.page_id: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
+    rows = []
+    for u in urls:
+        host, path, _, verdict = brute_url(u)
+        text = "^^" + "".join(c if c in urlfilter.LETTERS else "~" for c in (host + path).lower()) + "$"
+        rows.append((verdict, xxhash.xxh64_intdigest(host.encode(), seed=42) % 2, [text[k : k + 3] for k in range(len(text) - 2)]))
+
+    def p(counts, gram):
+        out = 1 / urlfilter.ALPHABET
+        for n in range(3):
+            key = gram[2 - n :]
+            tails = Counter()
+            for g, c in counts.items():
+                if g[2 - n : 2] == key[:n]:
+                    tails[g[2 - n :]] += c
+            if tails:
+                out = (tails[key] + len(tails) * out) / (sum(tails.values()) + len(tails))
+        return out
+
+    def ratio(own, halves):
+        a, r = (Counter(g for v, h, gs in rows if v == kind and h in halves for g in gs) for kind in ("allow", "block"))
+        return np.mean([math.log10(p(a, g) / p(r, g)) for g in own])
+
+    held = sorted(ratio(gs, {1 - h}) for v, h, gs in rows if v == "allow")
+    threshold = held[math.ceil(urlfilter.LOST * len(held)) - 1]
+    seen = set()
+    for k, (v, _, gs) in enumerate(rows):
+        if v:
+            assert got[k].verdict == v and got[k].ratio is None
+        else:
+            own = ratio(gs, {0, 1})
+            assert math.isclose(got[k].ratio, own, abs_tol=1e-9)
+            if abs(own - threshold) > 1e-9:
+                assert got[k].verdict == ("allow" if own >= threshold else "block")
+                seen.add(got[k].verdict)
+    assert seen
+
+
 def test_op9_is_native(spark, sf_dir):
     plan = queries.op9_url_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
