@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from corpusmill import registry
 from corpusmill.functions import text as T
-from corpusmill.operators import clean, contamination, dedup, ledger, mixture, pairs, planner, series, shards, tokens
-from corpusmill.plans import sharding
+from corpusmill.operators import clean, contamination, dedup, ledger, mixture, nearest, pairs, planner, series, shards, tokens
+from corpusmill.plans import numeric, sharding
 from corpusmill.plans.numeric import largest_that_fits
 from corpusmill.session import scratch
 from corpusmill.sources import tables
@@ -126,6 +126,26 @@ def test_versions_next_to_other_letters(spark, tmp_path):
         same_as_sql(spark, "canary_scan", tmp_path / str(k))
 
 
+@pytest.mark.parametrize("at_once", [8_000_000, 200])
+def test_nearest_of_all_rows(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", at_once)
+    rng = np.random.default_rng(3)
+    v = [[float(x) for x in r] for r in rng.normal(size=(1500, 8)).astype(np.float32)]
+    for k in range(0, 1500, 50):  # copies, and what differs beyond the sixth place
+        v[(k * 7 + 13) % 1500] = v[(k * 11 + 29) % 1500] = v[k]
+        v[(k * 3 + 7) % 1500] = [x + 1e-8 for x in v[k]]
+    v[700], v[701], v[702] = None, [float("nan")] * 8, [float("inf")] * 8
+    rows = [(k, x, None if k % 97 == 5 else k % 4) for k, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(f"WITH {numeric.NEIGHBOURS} SELECT vec_id, label, other FROM n WHERE rn = 1").fetchall()
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    got = nearest.nearest(e, e.where("vec_id % 100 = 0"))
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    same_as_sql(spark, "nn_same_label_rate", tmp_path)
+
+
 def test_contamination_runs_and_gate(spark):
     item = " ".join(f"q{k}" for k in range(80))
     b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
